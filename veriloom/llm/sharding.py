@@ -16,8 +16,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHARDS = 32
-SLOTS = 4093
+SHARDS = 16
+SLOTS = 2039
 
 
 def _number(text: str) -> int:
