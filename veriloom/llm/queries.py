@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, langid, packing, pii, sharding, suffix_dedup, warc
+from . import decontaminate, exact_dedup, html_text, jaccard_join, langid, packing, pii, sharding, suffix_dedup, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("starts", "ends")
 
@@ -55,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_suffix_dedup, op3_language_id, op4_decontamination, op5_html_text, op6_sharding, op7_pii, op8_packing, op9_exact_dedup, op10_warc)
+    found = (op1_jaccard_join, op2_suffix_dedup, op3_language_id, op4_decontamination, op5_html_text, op6_sharding, op7_pii, op8_packing, op9_exact_dedup, op10_warc)
     return {f.__name__: f for f in found}
 
 
