@@ -132,7 +132,7 @@ def enrich(prompts: DataFrame, responses: DataFrame, provider: Callable[[Iterato
 
 def tolerant_json(raw: Column) -> Column:
     """The JSON in an answer: a fenced block, the whole, from the first [ to the last ], or from { to }; else null."""
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     square = F.regexp_extract(raw, r"(?s)(\[.*\])", 1)
     curly = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
     tries = F.array(*[F.when(F.try_parse_json(c).isNotNull() & (F.trim(c) != ""), c) for c in (fenced, raw, square, curly)])
