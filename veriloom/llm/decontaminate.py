@@ -12,7 +12,7 @@ several passes over the documents. At similarity 0.8 the expected distance is 10
 default radius of 20 keeps all but some 3 in 10,000 of the windows that are just similar enough.
 
 Defined cases: a null or empty text, or an item without words, matches nothing; an item or text under five words is
-one shingle; a document shorter than an item is one window; repeated items are each reported, repeated documents
+one shingle; a document shorter than an item is one window; repeated item ids are reported once, repeated documents
 each checked; empty tables give empty results or no matches; other columns pass through untouched.
 """
 

@@ -11,56 +11,17 @@ other columns, whatever their names, pass through untouched.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import build, filter_pages, probe
 from .common import join_groups, materialize, text_or_empty
 
-PAGE_BITS = 32768  # the width of Spark's bitmap_construct_agg
-MAX_FILTER_BYTES = 64 << 20  # a larger filter is joined by shuffle instead of broadcast
-
-
 def text_digest(text: Column) -> Column:
     """SHA-256 in hex of the text without ASCII white space."""
     return F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256)
 
 
-def _page(h: str, pages: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(F.col(h), 32), F.lit(pages)).cast("long")
-
-
-def _slots(h: str) -> list[Column]:
-    return [F.col(h).bitwiseAND(PAGE_BITS - 1), F.shiftrightunsigned(F.col(h), 15).bitwiseAND(PAGE_BITS - 1)]
-
-
-def filter_pages(rows: int, bits_per_row: int = 16) -> int:
-    """Pages for a filter of at least bits_per_row bits a row, a power of two."""
-    return 1 << max(0, math.ceil(math.log2(max(1, rows * bits_per_row / PAGE_BITS))))
-
-
-def repeated_slots(hashes: DataFrame, h: str, pages: int) -> DataFrame:
-    """Pass 1: (page, bitmap) with a bit for each slot that at least two rows set."""
-    slot = F.explode(F.array_distinct(F.array(*_slots(h))))
-    counted = hashes.select(_page(h, pages).alias("page"), slot.alias("slot")).groupBy("page", "slot").count()
-    return counted.where("count > 1").groupBy("page").agg(F.expr("bitmap_construct_agg(slot)").alias("bitmap"))
-
-
-def probe(rows: DataFrame, h: str, pages: int, bitmaps: DataFrame, hit: str) -> DataFrame:
-    """Pass 2: adds ``hit``, false for rows whose hash no other row can have."""
-    small = pages * PAGE_BITS // 8 <= MAX_FILTER_BYTES
-    found = bitmaps.select(F.col("page").alias("__page"), F.col("bitmap").alias("__bitmap"))
-    joined = rows.withColumn("__page", _page(h, pages)).join(F.broadcast(found) if small else found, "__page", "left")
-
-    def is_set(slot: Column) -> Column:
-        byte = F.conv(F.hex(F.substring("__bitmap", F.shiftright(slot, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.getbit(byte, slot.bitwiseAND(7).cast("int")) == 1
-
-    both = is_set(_slots(h)[0]) & is_set(_slots(h)[1])
-    return joined.withColumn(hit, F.coalesce(both, F.lit(False))).drop("__page", "__bitmap")
-
-
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -78,7 +39,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
     total = digests.count()
     pages = filter_pages(total)
-    probed = probe(digests, "h", pages, repeated_slots(digests, "h", pages), "hit")
+    probed = probe(digests, "h", pages, build(digests, "h", pages, 2), "hit")
     order = F.struct("points", F.bitwise_not("doc_id").alias("low"), F.bitwise_not("row").alias("first"))
     groups = (
         probed.where("hit").groupBy("digest").agg(F.max(order).alias("best"), F.count("*").alias("size")).where("size > 1")
@@ -108,7 +69,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     hashed = whole.withColumns({"digest": F.unhex(text_digest(text)), "points": F.length(text)}).withColumn("h", F.xxhash64("digest"))
     total = docs.count()
     pages = filter_pages(total)
-    bitmaps = materialize(repeated_slots(hashed, "h", pages), "bloom")
+    bitmaps = materialize(build(hashed, "h", pages, 2), "bloom")
     probed = probe(hashed, "h", pages, bitmaps, "hit")
     order = F.struct("points", F.bitwise_not(F.col("row.doc_id").cast("long")), F.xxhash64(F.to_json("row")))
     best = probed.where("hit").groupBy("digest").agg(F.max_by("row", order).alias("row"))
