@@ -299,10 +299,10 @@ def n05_n09_json_fields(spark, sf_dir):
     return e.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.k").cast("long").alias("k"), F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).alias("kind"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(left(text, 60), ' ') AS a FROM documents) SELECT doc_id, array_to_string(a, ' ') AS abstract FROM w""")
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents) SELECT doc_id, array_to_string(a, ' ') AS abstract FROM w""")
 def c17_abstract_from_inverted_index(spark, sf_dir):
     """Words with their positions, as an inverted index stores them, put back in order."""
-    w = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 60), " ")).alias("pos", "word"))
+    w = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     index = w.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
     back = index.select("doc_id", "word", F.explode("at").alias("pos")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
     return back.select("doc_id", F.array_join("s.word", " ").alias("abstract"))

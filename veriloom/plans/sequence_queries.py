@@ -13,23 +13,21 @@ from .retrieval_queries import similar_pairs
 from .text_queries import SENTENCES, sentence_rows
 
 
-@query(rf"""WITH RECURSIVE s AS (SELECT doc_id, j, CAST(len(string_split(text, ' ')) AS INTEGER) AS n FROM {SENTENCES} WHERE doc_id % 4 = 1 AND j < 300),
-  f AS (SELECT doc_id, j, 0 AS chunk, n AS total FROM s WHERE j = 0 UNION ALL SELECT s.doc_id, s.j, CASE WHEN f.total >= 200 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.total >= 200 THEN s.n ELSE f.total + s.n END FROM f JOIN s ON s.doc_id = f.doc_id AND s.j = f.j + 1)
+@query(rf"""WITH RECURSIVE s AS (SELECT doc_id, list(CAST(len(string_split(text, ' ')) AS INTEGER) ORDER BY j) AS n FROM {SENTENCES} GROUP BY doc_id),
+  f AS (SELECT doc_id, 0 AS j, 0 AS chunk, n[1] AS total, n FROM s UNION ALL SELECT doc_id, j + 1, CASE WHEN total >= 200 THEN chunk + 1 ELSE chunk END, CASE WHEN total >= 200 THEN n[j + 2] ELSE total + n[j + 2] END, n FROM f WHERE j + 1 < len(n))
   SELECT doc_id, j, chunk FROM f""")
 def g09_sentence_chunks(spark, sf_dir):
-    rows = sentence_rows(read(spark, sf_dir, "documents").where("doc_id % 4 = 1")).where("j < 300")
+    rows = sentence_rows(read(spark, sf_dir, "documents"))
     counts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", F.size(F.split("text", " ")).alias("n")))).alias("s"))
     return counts.select("doc_id", F.posexplode(sequential.chunk_numbers(F.col("s.n"), 200)).alias("j", "chunk"))
 
 
-@query(r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE doc_id % 4 = 2),
-  s AS (SELECT doc_id, CAST(k AS INTEGER) AS k, CAST(len(list_filter(string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS INTEGER) AS n FROM l),
-  f AS (SELECT doc_id, k, 0 AS chunk, n AS total FROM s WHERE k = 0 UNION ALL SELECT s.doc_id, s.k, CASE WHEN f.total > 0 AND f.total + s.n > 150 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.total > 0 AND f.total + s.n > 150 THEN s.n ELSE f.total + s.n END FROM f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k + 1)
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda y: CAST(len(list_filter(string_split(trim(regexp_replace(y, '\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS INTEGER)) AS n FROM documents),
+  f AS (SELECT doc_id, 0 AS k, 0 AS chunk, n[1] AS total, n FROM s UNION ALL SELECT doc_id, k + 1, CASE WHEN total > 0 AND total + n[k + 2] > 150 THEN chunk + 1 ELSE chunk END, CASE WHEN total > 0 AND total + n[k + 2] > 150 THEN n[k + 2] ELSE total + n[k + 2] END, n FROM f WHERE k + 1 < len(n))
   SELECT doc_id, k, chunk FROM f""")
 def g10_paragraph_chunks(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where("doc_id % 4 = 2")
     counts = F.transform(F.split("text", "\n"), lambda x: F.size(t.words(x)))
-    return rows.select("doc_id", F.posexplode(sequential.paragraph_chunks(counts, 150)).alias("k", "chunk"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(sequential.paragraph_chunks(counts, 150)).alias("k", "chunk"))
 
 
 @query()
@@ -60,7 +58,7 @@ def j09_f14_fuzzy_rematch(spark, sf_dir):
 def f15_v21_quote_integrity(spark, sf_dir):
     """Quotes that no text under the same key holds to 85 percent."""
     quotes = read(spark, sf_dir, "benchmark").select("item_id", t.norm(F.col("text")).alias("quote"), (F.col("item_id") % 40).alias("src"))
-    docs = read(spark, sf_dir, "documents").where("n_chars < 4000").select((F.col("doc_id") % 40).alias("src"), t.norm(F.col("text")).alias("body"))
+    docs = read(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("src"), t.norm(F.col("text")).alias("body"))
     scored = quotes.join(docs, "src").select("item_id", sequential.longest_block("quote", "body").alias("score"))
     return scored.groupBy("item_id").agg(F.round(F.max("score"), 6).alias("best")).where("best < 0.85")
 

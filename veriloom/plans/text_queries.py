@@ -275,13 +275,13 @@ def g02_claims_by_marker(spark, sf_dir):
     return split_claims(marked_texts(spark, sf_dir)).select("doc_id", "claim", "text", F.array_join("markers", ",").alias("markers"))
 
 
-@query(rf"""WITH w AS (SELECT *, regexp_extract(text, '\d+(?:[.,]\d+)?') AS raw FROM (SELECT 'The value rose to ' || CAST(doc_id AS VARCHAR) || ' units in ' || source AS text, doc_id FROM documents WHERE doc_id > 0 UNION ALL SELECT 'More people agree in ' || lang, -doc_id FROM documents WHERE doc_id > 0))
-  SELECT doc_id, CASE WHEN raw <> '' THEN replace(text, ' ' || raw || ' ', ' ' || CAST(CAST(floor(CAST(raw AS DOUBLE) * 3.7) AS BIGINT) AS VARCHAR) || ' ') ELSE replace(text, 'More', 'less') END AS corrupted FROM w""")
+@query(rf"""WITH w AS (SELECT *, regexp_extract(text, '\d+(?:[.,]\d+)?') AS raw FROM (SELECT 'The value rose to ' || CAST(doc_id AS VARCHAR) || ' units in ' || source AS text, doc_id FROM documents UNION ALL SELECT 'More people agree in ' || lang, -doc_id - 1 FROM documents))
+  SELECT doc_id, CASE WHEN raw = '0' THEN replace(text, 'rose', 'fell') WHEN raw <> '' THEN replace(text, ' ' || raw || ' ', ' ' || CAST(CAST(floor(CAST(raw AS DOUBLE) * 3.7) AS BIGINT) AS VARCHAR) || ' ') ELSE replace(text, 'More', 'less') END AS corrupted FROM w""")
 def f30_error_injection(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("doc_id > 0")
+    docs = read(spark, sf_dir, "documents")
     a = docs.select("doc_id", F.concat(F.lit("The value rose to "), "doc_id", F.lit(" units in "), "source").alias("text"))
-    b = docs.select((-F.col("doc_id")).alias("doc_id"), F.concat(F.lit("More people agree in "), "lang").alias("text"))
-    return a.unionByName(b).select("doc_id", t.inject_error(F.col("text")).alias("corrupted"))
+    b = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.concat(F.lit("More people agree in "), "lang").alias("text"))
+    return a.unionByName(b).select("doc_id", F.coalesce(t.inject_error(F.col("text")), "text").alias("corrupted"))
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_replace(lower(substr(html, 1, 12000)), '[^a-z0-9 ]', ' ', 'g') AS o FROM pages),
