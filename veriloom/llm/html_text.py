@@ -134,6 +134,7 @@ def judge(node: Node, rest: str) -> None:
         while inside is not None and inside.tag not in ("article", "main"):
             inside = inside.parent
         node.noise = inside is None
+        node.strict = node.noise and node.tag == "header"
     if words & NOISE_WORDS and node.tag not in ("body", "article", "main"):
         node.noise = True
     if node.tag == "article" and words & {"comment", "comments", "reply"}:
@@ -141,11 +142,12 @@ def judge(node: Node, rest: str) -> None:
 
 
 def spread_noise(nodes: list[Node]) -> None:
-    """Noise holds for all that lies below; but a class alone never rules out a part that holds the article."""
-    holds = set()
-    for node in reversed(nodes):
-        if node.tag in ("article", "main") and not node.noise or node in holds:
-            holds.add(node.parent)
+    """Noise holds for all that lies below; but a class alone never rules out a part that holds the article.
+
+    The article is where the page says so, else where its first heading is.
+    """
+    marks = [x for x in nodes if x.tag in ("article", "main") and not x.noise] or [x for x in nodes if x.tag == "h1" and not x.noise][:1]
+    holds = {up for mark in marks for up in ancestors(mark)}
     for node in nodes:
         if node in holds and not node.strict:
             node.noise = False
@@ -191,7 +193,11 @@ def article(root: Node, nodes: list[Node]) -> list[Node]:
             return inner
         return outer
     body = next((x for x in nodes if x.tag == "body"), root)
-    live = [x for x in nodes if not x.noise and x.chars and (x is body or body in ancestors(x) or body is root)]
+    inside = {body}
+    for node in nodes:
+        if node.parent in inside:
+            inside.add(node)
+    live = [x for x in nodes if not x.noise and x.chars and x in inside]
     if not live:
         return []
     best = max(live, key=lambda x: (x.total, x.chars))
