@@ -109,7 +109,7 @@ def a25_grader_agreement(spark, sf_dir):
 
 
 @query("SELECT CASE WHEN n_chars = 0 THEN 'missing' WHEN n_chars < 900 THEN 'thin' WHEN lang <> 'en' THEN 'mismatch' ELSE 'present' END AS status, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY 1")
-def a30_a31_download_status(spark, sf_dir):
+def a31_download_status(spark, sf_dir):
     n = F.col("n_chars")
     status = F.when(n == 0, "missing").when(n < 900, "thin").when(F.col("lang") != "en", "mismatch").otherwise("present")
     return read(spark, sf_dir, "documents").groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

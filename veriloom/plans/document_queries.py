@@ -86,7 +86,7 @@ def v12_v13_cached_classification(spark, sf_dir):
 
 
 @query("SELECT conv_id, turn, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS wide FROM conversations")
-def v23_v18_wide_windows(spark, sf_dir):
+def v23_wide_windows(spark, sf_dir):
     """The windows that a second reading gets: four turns on either side."""
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", windows.around("text", "conv_id", "turn", 4).alias("wide"))
 

@@ -18,7 +18,7 @@ def f05_f06_folds(spark, sf_dir):
 
 @query("""WITH x AS (SELECT o_orderkey, date_part('year', o_orderdate) AS y, date_part('month', o_orderdate) AS m, date_part('day', o_orderdate) AS d FROM orders)
   SELECT o_orderkey, y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS found FROM x""")
-def f20_v20_written_dates(spark, sf_dir):
+def f20_written_dates(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     d = F.col("o_orderdate")
     line = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(d, "'Published 'd MMM yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format(d, "MMMM d, yyyy")).otherwise(F.date_format(d, "'Updated 'yyyy-MM-dd"))
@@ -71,7 +71,7 @@ def g20_g21_prompt_batches(spark, sf_dir):
 
 
 @query("""SELECT doc_id, regexp_extract(text, '^(\\S+)', 1) <> '' AND doc_id % 3 = 0 AND length(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) >= 0 AND len(list_filter(string_split(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) >= 6 AS fragment FROM documents""")
-def p12_p13_claim_fragment(spark, sf_dir):
+def p12_claim_fragment(spark, sf_dir):
     """Every third extraction is the claim's own wording, which its source (the reversed text) does not hold."""
     docs = read(spark, sf_dir, "documents")
     claim = F.substring("text", 1, 200)
