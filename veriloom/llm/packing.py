@@ -13,11 +13,14 @@ doc_id stays null; an empty table gives no rows; other columns of the input are
 
 from __future__ import annotations
 
+import re
+import struct
 import sys
 import types
 import unicodedata
 import zlib
 from bisect import bisect_left
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -28,46 +31,61 @@ from .common import materialize, text_or_empty
 
 CAPACITY = 2048
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
-# Fixed value: the word pattern of the tokenizer file.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Fixed value: the word pattern of the tokenizer file, for texts below U+0300.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:_|[^\w\s])+"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level file: itself if printable, else the next from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
 class WordEncoder:
     """Token ids of a word-level BPE file as little-endian bytes, word by word through a bounded cache.
 
-    In such a file a word's ids do not depend on its neighbours. Texts on which Python's lower-casing, white
-    space or normal form could differ from the file's own go to the tokenizer whole.
+    In such a file a word's ids do not depend on its neighbours. Texts on which Python's lower-casing, white space,
+    letters or normal form could differ from the file's own go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(WORD).findall
-        self.odd = regex.compile(r"[^\x00-˿]|[\x1c-\x1f\x85\xa0İŉǰ]").search
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.find = re.compile(WORD).findall
+        self.odd = re.compile("[^\x00-˿]|[\x1c-\x1f\x85\xa0İŉǰ]").search
+        self.control = re.compile("[\x1c-\x1f]").search
         self.words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = "".join([self.letters[b] for b in word.encode()])
+        ids = [x.id for x in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. A full cache takes no more words; those of one call are kept aside for it."""
+        known = self.words
+        found = [self.find(x.lower()) if x.isascii() and not self.control(x) else None if self.odd(x) or not unicodedata.is_normalized("NFC", x) else self.find(x.lower()) for x in texts]
+        missing = set().union(*[words for words in found if words]).difference(known)
+        if missing:
+            new = {w: self._word(w) for w in missing}
+            if len(known) + len(new) <= CACHED_WORDS:
+                known.update(new)
+            else:
+                known = ChainMap(new, known)
+        return [self._ids(x) if words is None else b"".join(map(known.__getitem__, words)) for x, words in zip(texts, found, strict=True)]
+
     def __call__(self, text: str) -> bytes:
-        if self.odd(text) or not unicodedata.is_normalized("NFC", text):
-            return self._ids(text)
-        found, known = self.find(text.lower()), self.words
-        try:
-            return b"".join([known[w] for w in found])
-        except KeyError:
-            missing = [w for w in dict.fromkeys(found) if w not in known]
-            if len(known) + len(missing) > CACHED_WORDS:
-                known.clear()
-                missing = list(dict.fromkeys(found))
-            for word, got in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[word] = np.asarray(got.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in found])
+        return self.many([text])[0]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -89,10 +107,10 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
 
         encode, part, seen = encoder(path), TaskContext.get().partitionId(), {}
         end, types = np.uint32(end_id).astype("<u4").tobytes(), [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        for batch in batches:
+        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)
