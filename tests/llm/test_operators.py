@@ -254,6 +254,19 @@ def test_main_text():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_density_confirms_marked_parts():
+    body = "".join(f"<p>Paragraph {k} of the body goes on for a good while, so that it counts as prose.</p>" for k in range(6))
+    card = "<article class=card><h3>Teaser</h3><p>A few words of another post.</p></article>"
+    for page in (f"<div id=content><h1>Head</h1>{body}</div><div class=latest>{card * 3}</div>", f"<div id=content>{body}</div><div class=related>{card * 3}</div>"):
+        assert html_text.main_text(f"<body>{page}</body>").count("Paragraph") == 6 and "Teaser" not in html_text.main_text(f"<body>{page}</body>")
+    assert html_text.main_text(f"<body><main><h1>Head</h1>{body}{card}</main></body>").count("Paragraph") == 6
+    assert html_text.main_text(f"<body><h1>Head</h1>{body}{card}</body>").count("Paragraph") == 6
+    whole = html_text.main_text(f"<body><div class=sidebar><main><div class=promo><article><h1>Head</h1><div>{body}</div></article></div></main></div><p>junk</body>")
+    assert whole.count("Paragraph") == 6 and whole.startswith("Head\n") and "junk" not in whole
+    both = html_text.main_text(f"<body><article><h1>One</h1>{body}</article><article><h1>Two</h1>{body}</article><p>junk</body>")
+    assert both.count("Paragraph") == 12 and "junk" not in both
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(pages).collect()

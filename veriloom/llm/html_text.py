@@ -6,8 +6,9 @@ whose children's densities have the largest sum holds the article; the least den
 the threshold that a part outside it must reach to belong to the article as well.
 
 Elements that are by their tag, role or class no article (menus, headers and footers of the page, sidebars, notices,
-adverts, forms, scripts, styles, comments) are left out before densities are computed. Where a page marks its
-article or main part, that part is taken whole.
+adverts, forms, scripts, styles, comments) are left out before densities are computed. A part that the page marks as
+article or main only sets the borders of what density has found: it is taken where the densest node lies in it, or
+where it holds most of that node's text; other marked parts join it by the threshold.
 
 Defined cases: null or empty html gives the empty text; unclosed, misnested and stray tags are repaired; markup cut
 off at the end is dropped; repeated rows are extracted each; an empty table gives no rows; only page_id, url and
@@ -144,10 +145,27 @@ def judge(node: Node, rest: str) -> None:
 def spread_noise(nodes: list[Node]) -> None:
     """Noise holds for all that lies below; but a class alone never rules out a part that holds the article.
 
-    The article is where the page says so, else where its first heading is.
+    The article may be a marked part with no less text than all that no class rules out, or where the first heading
+    outside marked parts is.
     """
-    marks = [x for x in nodes if x.tag in ("article", "main") and not x.noise] or [x for x in nodes if x.tag == "h1" and not x.noise][:1]
-    holds = {up for mark in marks for up in ancestors(mark)}
+    marked, ruled, raw, live = set(), set(), {}, 0
+    for node in nodes:
+        if node.parent in marked or node.tag in ("article", "main") and not node.noise:
+            marked.add(node)
+        if node.noise or node.parent in ruled:
+            ruled.add(node)
+        raw[node] = 0 if node.strict else own_chars(node)
+        live += 0 if node in ruled else raw[node]
+    for node in reversed(nodes):
+        if node.parent is not None:
+            raw[node.parent] += raw[node]
+    marks = [x for x in marked if x.parent not in marked or x.tag in ("article", "main")]
+    marks = [x for x in marks if not x.noise and (x not in ruled or raw[x] >= live)]
+    marks += [x for x in nodes if x.tag == "h1" and not x.noise and x not in marked][:1]
+    holds = set()
+    for node in marks:
+        while (node := node.parent) is not None and node not in holds:
+            holds.add(node)
     for node in nodes:
         if node in holds and not node.strict:
             node.noise = False
@@ -155,10 +173,14 @@ def spread_noise(nodes: list[Node]) -> None:
             node.noise = True
 
 
+def own_chars(node: Node) -> int:
+    return sum(len(" ".join(p.split())) for p in node.parts if isinstance(p, str))
+
+
 def measure(nodes: list[Node]) -> None:
     """Characters, tags, link characters and link tags of each subtree, then densities and their sums."""
     for node in nodes:
-        node.chars = 0 if node.noise else sum(len(" ".join(p.split())) for p in node.parts if isinstance(p, str))
+        node.chars = 0 if node.noise else own_chars(node)
         node.tags = node.link_chars = node.link_tags = 0
     for node in reversed(nodes):
         if node.tag == "a":
@@ -184,14 +206,6 @@ def measure(nodes: list[Node]) -> None:
 
 def article(root: Node, nodes: list[Node]) -> list[Node]:
     """The subtrees that hold the article, in page order."""
-    marked = [x for x in nodes if x.tag in ("article", "main") and not x.noise and x.chars]
-    outer = [x for x in marked if not any(y in marked for y in ancestors(x))]
-    if outer:
-        inner = [x for x in marked if x.tag == "article"]
-        mains = [x for x in outer if x.tag == "main"]
-        if mains and len(inner) == 1:
-            return inner
-        return outer
     body = next((x for x in nodes if x.tag == "body"), root)
     inside = {body}
     for node in nodes:
@@ -206,12 +220,41 @@ def article(root: Node, nodes: list[Node]) -> list[Node]:
     path = [best, *ancestors(best)]
     path = path[: path.index(body) + 1] if body in path else path
     least = min(x.density for x in path)
-    chosen = {best}
+    marked = {x for x in live if x.tag in ("article", "main")}
+    if marks := confirmed(best, path, marked, nodes):
+        tops = outermost(marked - set(path), nodes)
+        return outermost({*marks, *(x for x in tops if x.density >= least)}, nodes)
+    chosen, on = {best}, set(path)
     for node in path[1:]:
-        chosen.update(k for k in node.kids if k not in path and not k.noise and k.density >= least)
+        chosen.update(k for k in node.kids if k not in on and not k.noise and k.density >= least)
     return [x for x in nodes if x in chosen]
 
 
+def confirmed(best: Node, path: list[Node], marked: set[Node], nodes: list[Node]) -> list[Node]:
+    """Marked parts that density bears out: the least one around the densest node, or those with most of its text."""
+    if around := next((x for x in path if x in marked), None):
+        return [around]
+    below = {best}
+    for node in nodes:
+        if node.parent in below:
+            below.add(node)
+    tops = outermost(marked & below, nodes)
+    held = sum(x.chars - x.link_chars for x in tops)
+    return tops if 2 * held > best.chars - best.link_chars else []
+
+
+def outermost(some: set[Node], nodes: list[Node]) -> list[Node]:
+    """Those that lie in no other one, in page order."""
+    inside, out = set(), []
+    for node in nodes:
+        if node.parent in inside:
+            inside.add(node)
+        elif node in some:
+            inside.add(node)
+            out.append(node)
+    return out
+
+
 def ancestors(node: Node) -> list[Node]:
     out = []
     while (node := node.parent) is not None:
