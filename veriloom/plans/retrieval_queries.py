@@ -20,7 +20,7 @@ LEX = f"""claims AS (SELECT item_id, text AS claim_text, item_id AS src FROM ben
 
 
 def _lexical(spark, sf_dir):
-    claims = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("claim_text"), F.col("item_id").alias("src"))
+    claims = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("claim_text"), (F.col("item_id") % 40).alias("src"))
     texts = read(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("src"), "doc_id", "text", "n_chars")
     scored = retrieve.lexical_scores(claims, texts, "src", "item_id", "doc_id").withColumn("lex", F.round("lex", 6))
     return scored.join(texts.select("src", "doc_id", "n_chars"), ["src", "doc_id"])
@@ -104,7 +104,7 @@ def r11_chunk_gate(spark, sf_dir):
   c AS (SELECT item_id, j, CASE WHEN a = b THEN 2.0 WHEN (contains(a, b) OR contains(b, a)) AND least(length(a), length(b)) >= 20 THEN 0.6 + 0.4 * least(length(a), length(b)) / greatest(length(a), length(b)) ELSE len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) END AS score FROM p)
   SELECT item_id, j, round(score, 6) AS score FROM c WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, j) = 1""")
 def r13_map_to_sentence(spark, sf_dir):
-    quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote"), F.col("item_id").alias("src"), F.element_at(t.sentences(F.col("text")), 1).alias("quote_text"))
+    quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote"), (F.col("item_id") % 40).alias("src"), F.element_at(t.sentences(F.col("text")), 1).alias("quote_text"))
     sents = sentence_rows(read(spark, sf_dir, "documents")).select((F.col("doc_id") % 40).alias("src"), (F.col("doc_id") * 100000 + F.col("j")).alias("j"), "text")
     got = retrieve.map_to_sentence(quotes, sents, "src")
     return got.select(F.col("quote").alias("item_id"), "j", F.round("score", 6).alias("score"))
