@@ -2,8 +2,11 @@
 
 import pytest
 from compare import assert_same
+from pyspark.sql import functions as F
 
+from veriloom.functions import text as t
 from veriloom.plans import catalog
+from veriloom.sources import links
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +31,18 @@ def test_every_item_meets_its_source(spark, many_items, name):
     assert items == {k + 40 for k in items if k < 40} | {k for k in items if k < 40}
     assert items == set(range(80)) or name.startswith("r13")
     assert_same(got, con, catalog.oracle_sql()[name].replace("item_id AS src", "item_id % 40 AS src"))
+
+
+def test_pdf_links_come_before_the_limit():
+    menu = "".join(f'<a href="/menu{k}">x</a>' for k in range(6))
+    page = menu + "<a class=k href='/a.PDF?x=1'>a</a><a href=b.pdf>b</a><a href=\"/a.PDF?x=1\">again</a><a href=ftp://h/c.pdf>c</a><meta content=/m.pdf name=citation_pdf_url><a href=/m.pdf>m</a>"
+    assert links.pdf_links(page, "https://h.org/x/y") == ["https://h.org/m.pdf", "https://h.org/a.PDF?x=1", "https://h.org/x/b.pdf"]
+    many = "".join(f"<a href=/{k}.pdf>x</a>" for k in range(9))
+    assert links.pdf_links(many, "https://h.org") == [f"https://h.org/{k}.pdf" for k in range(4)]
+    assert links.pdf_links(None, None) == [] == links.pdf_links(menu, "https://h.org") == links.pdf_links("<a href='http://[x/a.pdf'>", "https://h.org")
+
+
+def test_author_rescues_a_venue_title(spark):
+    title, text = "Proceedings of the National Academy of Sciences", "Eggs and hearts, by Drouin-Chartier and Lee."
+    rows = spark.createDataFrame([(title, text, a) for a in ("Drouin-Chartier and others", "Smith and others", None)] + [("Short title", text, "Drouin")], "title string, text string, author string")
+    assert [r[0] for r in rows.select(t.title_check(F.col("title"), F.col("text"), F.col("author"))).collect()] == ["ok", "mismatch", "mismatch", "unknown"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources import links
 from .registry import query, read
 
 #: Sentences of documents, as SQL.
@@ -299,6 +300,16 @@ def c07_link_extraction(spark, sf_dir):
     return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS site FROM pages), l AS (SELECT page_id, site, unnest(CASE WHEN page_id % 2 = 0 THEN ['/m.pdf', '/a.PDF?v=1', '/b.pdf'] ELSE ['/a.PDF?v=1', '/b.pdf', '/m.pdf', '/c.pdf#p'] END) AS link, unnest(CASE WHEN page_id % 2 = 0 THEN [0, 1, 2] ELSE [0, 1, 2, 3] END) AS pos FROM p)
+  SELECT page_id, pos, site || link AS link FROM l""")
+def c07_pdf_links(spark, sf_dir):
+    """Every second page names its PDF in a meta tag; all have PDF links, written in several ways, besides their own links."""
+    anchors = """<a href="/x">x</a><a class="k" href='/a.PDF?v=1'>a</a><a href="/a.PDF?v=1">a</a><A HREF=/b.pdf>b</A><a href="/m.pdf">m</a>"""
+    more = F.when(F.col("page_id") % 2 == 0, '<meta content="/m.pdf" name="citation_pdf_url">').otherwise('<a href="mailto:a.pdf">y</a><a href="/c.pdf#p">c</a><a href="/d.pdf">d</a>')
+    pages = read(spark, sf_dir, "pages")
+    return links.extract_pdf_links(pages.select("page_id", "url", F.concat(F.lit(anchors), more, F.col("html")).alias("html")))
+
+
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(lower(url), '\.pdf$') OR regexp_matches(lower(url), 'nber\.org|ssrn\.com|openreview\.net|biorxiv\.org|osf\.io|semanticscholar\.org|ncbi\.nlm\.nih\.gov|pubmed\.') THEN 'paper' ELSE 'web' END AS kind,
   regexp_matches(html, '(?i)\b(cancer|disease|medic|clinic|hospital|virus|weapon|malware|chemical|nuclear)\w*') AS blocked FROM pages""")
 def p21_p22_page_classes(spark, sf_dir):
