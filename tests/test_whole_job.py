@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import text as t
 from veriloom.plans import catalog
+from veriloom.plans.text_queries import garble_scores
 from veriloom.sources import links
 
 
@@ -46,3 +47,15 @@ def test_author_rescues_a_venue_title(spark):
     title, text = "Proceedings of the National Academy of Sciences", "Eggs and hearts, by Drouin-Chartier and Lee."
     rows = spark.createDataFrame([(title, text, a) for a in ("Drouin-Chartier and others", "Smith and others", None)] + [("Short title", text, "Drouin")], "title string, text string, author string")
     assert [r[0] for r in rows.select(t.title_check(F.col("title"), F.col("text"), F.col("author"))).collect()] == ["ok", "mismatch", "mismatch", "unknown"]
+
+
+def test_each_garble_score_reads_its_own_range(spark):
+    plain = "some plain words of text " * 160  # 4,000 characters
+    rows = {
+        "plain": plain * 6, "collapsed": plain[:3000] + "severalwordsgluedtogether " * 192, "split": plain * 2 + "p articipants r esults " * 200,
+        "late": plain * 5 + "p articipants " * 400, "few": "1" * 3990 + " " + plain + "p articipants " * 60, "spaced late": plain + "a b c d " * 500,
+    }
+    got = {r["k"]: r for r in garble_scores(spark.createDataFrame(list(rows.items()), "k string, text string")).collect()}
+    assert {k for k, r in got.items() if r["space_collapsed"]} == {"collapsed"}
+    assert {k for k, r in got.items() if r["line_split"]} == {"split", "few", "spaced late"}
+    assert not any(r["letter_spaced"] for r in got.values())

@@ -109,6 +109,29 @@ def f28_garble_scores(spark, sf_dir):
     )
 
 
+def garble_scores(docs: DataFrame) -> DataFrame:
+    """Adds the scores of ``text``; each reads its own range: 4,000 characters, 8,000 or 20,000."""
+    rows = docs.select("*", *(t.words(F.substring("text", 1, size)).alias(a) for a, size in (("a", 4000), ("b", 8000), ("c", 20000))))
+    lens = F.filter(F.transform("b", lambda w: F.length(F.regexp_replace(w, "[^A-Za-z]", ""))), lambda n: n > 0)
+    total = F.aggregate(lens, F.lit(0), lambda x, y: x + y)
+    return rows.select(
+        *docs.columns, ((F.size("a") >= 40) & (F.size(F.filter("a", lambda w: w.rlike("^[a-zA-Z]$"))) > 0.35 * F.size("a"))).alias("letter_spaced"),
+        ((F.size("b") >= 40) & (F.size(lens) > 0) & (total >= 8 * F.size(lens)) & (total < 20 * F.size(lens))).alias("space_collapsed"),
+        F.size(t.extract_all(F.substring("text", 1, 20000), "[A-Za-z]{25,}")).alias("glued"),
+        ((F.size("c") >= 40) & (F.size(F.filter("c", lambda w: F.lower(w).rlike("^[bcdfghjklmnpqrstvwxyz]$"))) > 0.011 * F.size("c"))).alias("line_split"),
+    )
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, string_split(trim(regexp_replace(substr(text, 1, 4000), '\s+', ' ', 'g')), ' ') AS a, string_split(trim(regexp_replace(substr(text, 1, 8000), '\s+', ' ', 'g')), ' ') AS b, string_split(trim(regexp_replace(substr(text, 1, 20000), '\s+', ' ', 'g')), ' ') AS c FROM documents),
+  s AS (SELECT doc_id, text, list_filter(a, lambda x: x <> '') AS a, list_filter(b, lambda x: x <> '') AS b, list_filter(c, lambda x: x <> '') AS c FROM w),
+  n AS (SELECT *, len(list_filter(a, lambda x: regexp_full_match(x, '[a-zA-Z]'))) AS singles, list_filter(list_transform(b, lambda x: len(regexp_replace(x, '[^A-Za-z]', '', 'g'))), lambda x: x > 0) AS lens, len(list_filter(c, lambda x: regexp_full_match(lower(x), '[bcdfghjklmnpqrstvwxyz]'))) AS lone FROM s)
+  SELECT doc_id, len(a) >= 40 AND singles > 0.35 * len(a) AS letter_spaced, len(b) >= 40 AND len(lens) > 0 AND list_sum(lens) >= 8 * len(lens) AND list_sum(lens) < 20 * len(lens) AS space_collapsed,
+   len(regexp_extract_all(substr(text, 1, 20000), '[A-Za-z]{25,}')) AS glued, len(c) >= 40 AND lone > 0.011 * len(c) AS line_split FROM n""")
+def f28_garble_ranges(spark, sf_dir):
+    """The scores of ``f28_garble_scores``, each over the whole range that it is defined on."""
+    return garble_scores(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 # Frequent words of the languages that the probe tells from English.
 ENGLISH = "the of and to in is was that for on with as by at from it his her he she are were be this which or an not have has had their its but also they who been after when one all there would about into more other some".split()
 FOREIGN = {
