@@ -59,3 +59,9 @@ def test_each_garble_score_reads_its_own_range(spark):
     assert {k for k, r in got.items() if r["space_collapsed"]} == {"collapsed"}
     assert {k for k, r in got.items() if r["line_split"]} == {"split", "few", "spaced late"}
     assert not any(r["letter_spaced"] for r in got.values())
+
+
+def test_merge_meets_all_known_entries(spark, sf_dir):
+    got = catalog.queries()["j10_p18_bibliography_merge_whole"](spark, sf_dir).collect()
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert len(got) == n and len({r["same_as"] for r in got}) > n / 2

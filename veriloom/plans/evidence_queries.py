@@ -98,6 +98,19 @@ def j10_p18_bibliography_merge(spark, sf_dir):
     return evidence.merge_bibliography(new, known).select("id", F.coalesce("same_as", F.lit("")).alias("same_as"))
 
 
+@query("""WITH k AS (SELECT 'k' || c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN '10.1000/ab' || c_custkey ELSE '' END AS doi, CASE WHEN c_custkey % 3 = 0 THEN 'x.org/' || c_custkey ELSE '' END AS url, lower(c_name) AS title FROM customer),
+  n AS (SELECT c_custkey AS id, '10.1000/ab' || (c_custkey + 2) AS doi, 'x.org/' || (c_custkey + 1) AS url, lower(c_name) || CASE WHEN c_custkey % 5 = 0 THEN ' x' ELSE '' END AS title FROM customer)
+  SELECT n.id, coalesce(d.key, u.key, t.key, '') AS same_as FROM n LEFT JOIN k d ON d.doi = n.doi LEFT JOIN k u ON u.url = n.url LEFT JOIN (SELECT title, min(key) AS key FROM k GROUP BY 1) t ON t.title = n.title""")
+def j10_p18_bibliography_merge_whole(spark, sf_dir):
+    """All customers against all customers, each with identifiers of its neighbours and some with another title."""
+    k = F.col("c_custkey")
+    c = read(spark, sf_dir, "customer")
+    known = c.select(F.concat(F.lit("k"), k).alias("key"), F.when(k % 2 == 0, F.concat(F.lit("10.1000/AB"), k)).otherwise("").alias("doi"), F.when(k % 3 == 0, F.concat(F.lit("http://x.org/"), k)).otherwise("").alias("url"), F.col("c_name").alias("title"))
+    title = F.concat("c_name", F.when(k % 5 == 0, " x").otherwise(""))
+    new = c.select(k.alias("id"), F.concat(F.lit("10.1000/ab"), k + 2).alias("doi"), F.concat(F.lit("https://www.x.org/"), k + 1, F.lit("/")).alias("url"), title.alias("title"))
+    return evidence.merge_bibliography(new, known).select("id", F.coalesce("same_as", F.lit("")).alias("same_as"))
+
+
 @query("""WITH c AS (SELECT l_orderkey AS file, l_suppkey AS key, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS tier FROM lineitem GROUP BY ALL), b AS (SELECT *, min(tier) OVER (PARTITION BY file) AS best FROM c)
   SELECT file, CASE WHEN count(*) = 1 THEN min(key) ELSE -1 END AS key, best AS tier, CASE WHEN count(*) = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM b WHERE tier = best GROUP BY file, best""")
 def j14_j15_c16_tiered_match(spark, sf_dir):
