@@ -65,3 +65,13 @@ def test_merge_meets_all_known_entries(spark, sf_dir):
     got = catalog.queries()["j10_p18_bibliography_merge_whole"](spark, sf_dir).collect()
     n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
     assert len(got) == n and len({r["same_as"] for r in got}) > n / 2
+
+
+@pytest.mark.parametrize("name", ["d07_roles_whole", "d08_crux_distance_whole", "d20_snowball", "d22_origin_trace_whole"])
+def test_graphs_have_the_tables_own_keys(spark, sf_dir, name):
+    got = catalog.queries()[name](spark, sf_dir).collect()
+    keys = {k for r in got for k in (r["found_via"].split(">") if name == "d20_snowball" else [r["claim"], r["origin"]] if name.startswith("d22") else [r["node"]])}
+    assert max(int(k) for k in keys) >= 400
+    if name == "d07_roles_whole":
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        assert keys == {r[c] for r in orders.collect() for c in ("o_orderkey", "o_custkey")}

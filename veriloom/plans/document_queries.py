@@ -96,7 +96,18 @@ def v23_wide_windows(spark, sf_dir):
   SELECT claim, arg_max(spot, depth) AS origin, max(depth) AS hops FROM w GROUP BY 1""")
 def d22_origin_trace(spark, sf_dir):
     """From each cited source at most two attributed steps back, stopping where the attribution is not confident."""
-    o = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 400).alias("src"), (F.col("o_orderkey") % 400).alias("dst"), ((F.col("o_orderkey") % 100) / 100.0).alias("conf"))
+    return _origins(read(spark, sf_dir, "orders").select((F.col("o_custkey") % 400).alias("src"), (F.col("o_orderkey") % 400).alias("dst"), ((F.col("o_orderkey") % 100) / 100.0).alias("conf")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey AS dst, (o_orderkey % 100) / 100.0 AS conf FROM orders), c AS (SELECT src, dst, max(conf) AS conf FROM e GROUP BY 1, 2), b AS (SELECT src, arg_max(dst, (conf, -dst)) AS dst, max(conf) AS conf FROM c GROUP BY 1),
+  w AS (SELECT src AS claim, src AS spot, 0 AS depth FROM b UNION ALL SELECT w.claim, b.dst, w.depth + 1 FROM w JOIN b ON b.src = w.spot WHERE w.depth < 2 AND b.conf >= 0.55)
+  SELECT claim, arg_max(spot, depth) AS origin, max(depth) AS hops FROM w GROUP BY 1""")
+def d22_origin_trace_whole(spark, sf_dir):
+    """The same over all customers and orders."""
+    return _origins(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), ((F.col("o_orderkey") % 100) / 100.0).alias("conf")))
+
+
+def _origins(o):
     best = o.groupBy("src").agg(F.max_by(F.struct("dst", "conf"), F.struct("conf", (-F.col("dst")).alias("d"))).alias("b")).select("src", "b.*").where("conf >= 0.55")
     now = o.select(F.col("src").alias("claim"), F.col("src").alias("origin")).distinct().withColumn("hops", F.lit(0))
     for hop in range(2):

@@ -217,7 +217,10 @@ def d08_crux_distance(spark, sf_dir):
 @query(f"""WITH RECURSIVE {DIST}, s AS (SELECT c.node, CASE WHEN b.dist > 0 THEN 1.0 / b.dist ELSE 0 END + CASE WHEN c.node % 7 = 0 THEN 0.5 ELSE 0 END + 0.1 * least(n_in + n_out, 5) / 5 AS raw FROM c LEFT JOIN b USING (node) WHERE c.node NOT IN (SELECT node FROM t))
   SELECT node, round(raw / max(raw) OVER (), 3) AS score FROM s QUALIFY raw > 0 AND row_number() OVER (ORDER BY round(raw, 9) DESC, node) <= 5""")
 def d09_leverage(spark, sf_dir):
-    nodes, edges = _edges(spark, sf_dir)
+    return _leverage(*_edges(spark, sf_dir))
+
+
+def _leverage(nodes, edges):
     classified = graph.roles(nodes, edges)
     theses = graph.theses(classified)
     rows = classified.join(theses, "node", "left_anti").join(graph.distances(edges, theses), "node", "left")
@@ -226,6 +229,32 @@ def d09_leverage(spark, sf_dir):
     return rows.join(F.broadcast(top)).orderBy(F.round("raw", 9).desc(), "node").limit(5).select("node", F.round(F.col("raw") / F.col("most"), 3).alias("score"))
 
 
+#: All keys of orders and customers as nodes, and an edge from the lesser to the greater of each pair.
+WHOLE = "nodes AS (SELECT o_orderkey AS node FROM orders UNION SELECT o_custkey FROM orders), edges AS (SELECT DISTINCT least(o_orderkey, o_custkey) AS src, greatest(o_orderkey, o_custkey) AS dst FROM orders WHERE o_orderkey <> o_custkey)"
+
+
+def _whole_edges(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.least("o_orderkey", "o_custkey").alias("src"), F.greatest("o_orderkey", "o_custkey").alias("dst"))
+    return o.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), o.where("src < dst").distinct()
+
+
+@query(f"WITH {ROLES.replace(EDGES, WHOLE)} SELECT node, n_in, n_out, role FROM c")
+def d07_roles_whole(spark, sf_dir):
+    return graph.roles(*_whole_edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {DIST.replace(EDGES, WHOLE)} SELECT node, dist FROM b")
+def d08_crux_distance_whole(spark, sf_dir):
+    nodes, edges = _whole_edges(spark, sf_dir)
+    return graph.distances(edges, graph.theses(graph.roles(nodes, edges)))
+
+
+@query(f"""WITH RECURSIVE {DIST.replace(EDGES, WHOLE)}, s AS (SELECT c.node, CASE WHEN b.dist > 0 THEN 1.0 / b.dist ELSE 0 END + CASE WHEN c.node % 7 = 0 THEN 0.5 ELSE 0 END + 0.1 * least(n_in + n_out, 5) / 5 AS raw FROM c LEFT JOIN b USING (node) WHERE c.node NOT IN (SELECT node FROM t))
+  SELECT node, round(raw / max(raw) OVER (), 3) AS score FROM s QUALIFY raw > 0 AND row_number() OVER (ORDER BY round(raw, 9) DESC, node) <= 5""")
+def d09_leverage_whole(spark, sf_dir):
+    return _leverage(*_whole_edges(spark, sf_dir))
+
+
 PARTS = "r AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM r GROUP BY s), x AS (SELECT a.s AS a, b.s AS b, count(*) AS shared FROM r a JOIN r b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2)"
 
 
