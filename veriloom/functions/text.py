@@ -133,7 +133,7 @@ def has_negation_stripped(c: Column) -> Column:
 
 
 def quoted_spans(c: Column, least_words: int = 3) -> Column:
-    return F.filter(F.transform(extract_all(c, QUOTED, 1), F.trim), lambda s: F.size(words(s)) >= least_words)
+    return F.filter(F.transform(extract_all(c, QUOTED, 1), lambda s: F.trim(s)), lambda s: F.size(words(s)) >= least_words)
 
 
 def doi_in(c: Column) -> Column:

@@ -154,7 +154,7 @@ def parse_sentences(raw: Column) -> Column:
     whole = F.from_json(F.get_json_object(tolerant_json(raw), "$.sentences"), "array<string>")
     body = F.regexp_replace(raw, r'(?s)^.*"sentences"\s*:\s*\[', "")
     salvaged = F.transform(t.extract_all(body, r'"((?:[^"\\]|\\.)*)"', 1), lambda s: F.replace(s, F.lit('\\"'), F.lit('"')))
-    kept = lambda c: F.filter(F.transform(c, F.trim), lambda s: ~t.degenerate(s))
+    kept = lambda c: F.filter(F.transform(c, lambda s: F.trim(s)), lambda s: ~t.degenerate(s))
     return F.when(F.size(kept(whole)) > 0, kept(whole)).otherwise(kept(salvaged))
 
 

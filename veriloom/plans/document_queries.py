@@ -59,13 +59,13 @@ def p11_claim_echo(spark, sf_dir):
     return rows.select("item_id", (F.contains("claim", F.col("e")) | (sequential.sequence_ratio("e", "claim") >= 0.85)).alias("echo"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(x, '\b(?:1[6-9]|20)\d{2}\b'))), ',') AS years, array_to_string(list_distinct(regexp_extract_all(x, '\d+(?:\.\d+)?%')), ',') AS percents FROM (SELECT doc_id, text || ' In ' || (1900 + doc_id % 150) || ' it was ' || (doc_id % 40) || '.5% of ' || (doc_id % 40) || '.5%.' AS x FROM documents)""")
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(x, '\b(?:1[6-9]|20)\d{2}\b'))), ',') AS years, array_to_string(list_sort(list_distinct(regexp_extract_all(x, '\d+(?:\.\d+)?%'))), ',') AS percents FROM (SELECT doc_id, text || ' In ' || (1900 + doc_id % 150) || ' it was ' || (doc_id % 40) || '.5% of ' || (doc_id % 40) || '.5%.' AS x FROM documents)""")
 def f17_named_figures(spark, sf_dir):
     """Years from 1600 to 2099 and percentages that a text names, each once."""
     k = F.col("doc_id")
     x = F.concat("text", F.lit(" In "), 1900 + k % 150, F.lit(" it was "), k % 40, F.lit(".5% of "), k % 40, F.lit(".5%."))
     years, percents = t.extract_all(x, r"\b(?:1[6-9]|20)\d{2}\b"), t.extract_all(x, r"\d+(?:\.\d+)?%")
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(years)), ",").alias("years"), F.array_join(F.array_distinct(percents), ",").alias("percents"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(years)), ",").alias("years"), F.array_join(F.array_sort(F.array_distinct(percents)), ",").alias("percents"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'opinion' WHEN event_type = 'click' THEN 'structural' WHEN event_type = 'view' THEN 'fact' ELSE '' END AS kind, event_id % 3 = 0 AS cached FROM events")
@@ -91,19 +91,11 @@ def v23_wide_windows(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", windows.around("text", "conv_id", "turn", 4).alias("wide"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 400 AS src, o_orderkey % 400 AS dst, (o_orderkey % 100) / 100.0 AS conf FROM orders), c AS (SELECT src, dst, max(conf) AS conf FROM e GROUP BY 1, 2), b AS (SELECT src, arg_max(dst, (conf, -dst)) AS dst, max(conf) AS conf FROM c GROUP BY 1),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey AS dst, (o_orderkey % 100) / 100.0 AS conf FROM orders), c AS (SELECT src, dst, max(conf) AS conf FROM e GROUP BY 1, 2), b AS (SELECT src, arg_max(dst, (conf, -dst)) AS dst, max(conf) AS conf FROM c GROUP BY 1),
   w AS (SELECT src AS claim, src AS spot, 0 AS depth FROM b UNION ALL SELECT w.claim, b.dst, w.depth + 1 FROM w JOIN b ON b.src = w.spot WHERE w.depth < 2 AND b.conf >= 0.55)
   SELECT claim, arg_max(spot, depth) AS origin, max(depth) AS hops FROM w GROUP BY 1""")
 def d22_origin_trace(spark, sf_dir):
     """From each cited source at most two attributed steps back, stopping where the attribution is not confident."""
-    return _origins(read(spark, sf_dir, "orders").select((F.col("o_custkey") % 400).alias("src"), (F.col("o_orderkey") % 400).alias("dst"), ((F.col("o_orderkey") % 100) / 100.0).alias("conf")))
-
-
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey AS dst, (o_orderkey % 100) / 100.0 AS conf FROM orders), c AS (SELECT src, dst, max(conf) AS conf FROM e GROUP BY 1, 2), b AS (SELECT src, arg_max(dst, (conf, -dst)) AS dst, max(conf) AS conf FROM c GROUP BY 1),
-  w AS (SELECT src AS claim, src AS spot, 0 AS depth FROM b UNION ALL SELECT w.claim, b.dst, w.depth + 1 FROM w JOIN b ON b.src = w.spot WHERE w.depth < 2 AND b.conf >= 0.55)
-  SELECT claim, arg_max(spot, depth) AS origin, max(depth) AS hops FROM w GROUP BY 1""")
-def d22_origin_trace_whole(spark, sf_dir):
-    """The same over all customers and orders."""
     return _origins(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), ((F.col("o_orderkey") % 100) / 100.0).alias("conf")))
 
 

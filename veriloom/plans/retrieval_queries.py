@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import graph, retrieve, windows
+from ..operators import graph, retrieve, vectors, windows
 from .registry import query, read
 from .text_queries import SENTENCES, sentence_rows
 
 TOKENS = r"list_distinct(list_transform(regexp_extract_all(lower({0}), '\d{{1,3}}(?:[ ,.]\d{{3}})+|\d+(?:[.,]\d+)?%?|[a-z]{{4,}}'), lambda x: CASE WHEN regexp_full_match(x, '\d{{1,3}}(?:[ ,.]\d{{3}})+') THEN regexp_replace(x, '[ ,.]', '', 'g') ELSE x END))"
-LEX = f"""claims AS (SELECT item_id, text AS claim_text, item_id AS src FROM benchmark),
+LEX = f"""claims AS (SELECT item_id, text AS claim_text, item_id % 40 AS src FROM benchmark),
   texts AS (SELECT doc_id % 40 AS src, doc_id, text, n_chars FROM documents),
   ct AS (SELECT item_id, src, unnest({TOKENS.format('claim_text')}) AS tok FROM claims), tt AS (SELECT src, doc_id, unnest({TOKENS.format('text')}) AS tok FROM texts),
   hits AS (SELECT * FROM ct JOIN tt USING (src, tok)), df AS (SELECT item_id, src, tok, count(*) AS df FROM hits GROUP BY ALL), n AS (SELECT src, count(*) AS n FROM texts GROUP BY src),
@@ -43,16 +43,18 @@ COS = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM em
 
 def _cosines(spark, sf_dir):
     """Every twentieth vector as a claim against all others; ``src`` is a source."""
-    e = read(spark, sf_dir, "embeddings")
-    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("claim"), F.col("label").alias("own"), F.col("embedding").alias("va"))
-    b = e.select(F.col("vec_id").alias("j"), F.col("label").alias("src"), F.col("embedding").alias("vb"))
-    pairs = b.join(F.broadcast(a), F.col("claim") != F.col("j"))  # the claims are the stated query set
-    return pairs.select("claim", "own", "src", "j", F.round(retrieve.cosine(F.col("va"), F.col("vb")), 9).alias("cos"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    pairs = vectors.tiled_cosines(rows.where("id % 20 = 0"), rows)  # the claims are the stated query set
+    return pairs.select(F.col("a").alias("claim"), "own", "src", F.col("b").alias("j"), F.round("cos", 9).alias("cos"))
 
 
 @query(COS + " SELECT claim, src, j, round(cos, 6) AS cos FROM p WHERE own = src")
 def f26_r02_r03_cosine(spark, sf_dir):
-    return _cosines(spark, sf_dir).where("own = src").select("claim", "src", "j", F.round("cos", 6).alias("cos"))
+    """A claim meets its own source's sentences only, through the join on the source."""
+    e = read(spark, sf_dir, "embeddings")
+    claims = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("claim"), F.col("label").alias("src"), F.col("embedding").alias("va"))
+    pairs = claims.join(e.select(F.col("vec_id").alias("j"), F.col("label").alias("src"), F.col("embedding").alias("vb")), "src").where("claim <> j")
+    return pairs.select("claim", "src", "j", F.round(F.round(retrieve.cosine(F.col("va"), F.col("vb")), 9), 6).alias("cos"))
 
 
 @query(COS + ", r AS (SELECT *, row_number() OVER (PARTITION BY claim, src ORDER BY cos DESC, j) AS rn FROM p) SELECT claim, src, j, rn - 1 AS rank FROM r WHERE rn <= 3 AND cos >= 0.25")
@@ -98,7 +100,7 @@ def r11_chunk_gate(spark, sf_dir):
     return retrieve.gate_chunks(chunks, ["claim"], "total").select("claim", "chunk")
 
 
-@query(rf"""WITH q AS (SELECT item_id, text AS quote_text, item_id AS src FROM benchmark), s AS (SELECT doc_id % 40 AS src, doc_id * 100000 + j AS j, text FROM {SENTENCES}),
+@query(rf"""WITH q AS (SELECT item_id, text AS quote_text, item_id % 40 AS src FROM benchmark), s AS (SELECT doc_id % 40 AS src, doc_id * 100000 + j AS j, text FROM {SENTENCES}),
   qs AS (SELECT item_id, src, lower(list_filter(string_split(regexp_replace(trim(regexp_replace(quote_text, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')[1]) AS a FROM q),
   p AS (SELECT item_id, j, a, lower(text) AS b, list_distinct(string_split(a, ' ')) AS wa, list_distinct(string_split(lower(text), ' ')) AS wb FROM qs JOIN s USING (src)),
   c AS (SELECT item_id, j, CASE WHEN a = b THEN 2.0 WHEN (contains(a, b) OR contains(b, a)) AND least(length(a), length(b)) >= 20 THEN 0.6 + 0.4 * least(length(a), length(b)) / greatest(length(a), length(b)) ELSE len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) END AS score FROM p)
@@ -159,21 +161,15 @@ def w08_round_robin_sample(spark, sf_dir):
 PAIRS = "WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label < b.label WHERE list_cosine_similarity(a.v, b.v) >= 0.40)"
 
 
-def similar_pairs(vectors, floor: float):
-    """Pairs of vectors of different labels whose cosine reaches the floor, sought in blocks of labels.
-
-    Each unordered pair of labels is one block, met by an equi join on the block, so no single task has all pairs.
-    """
-    labels = vectors.select("label").distinct()
-    blocks = labels.select(F.col("label").alias("la")).join(F.broadcast(labels.select(F.col("label").alias("lb"))), F.col("la") < F.col("lb"))
-    a = vectors.select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("va"))
-    b = vectors.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("vb"))
-    return a.join(F.broadcast(blocks), "la").join(b, "lb").where(retrieve.cosine(F.col("va"), F.col("vb")) >= floor).select("a", "b")
+def similar_pairs(embeddings, floor: float):
+    """a, b, cos of vectors of different labels whose cosine reaches the floor; ``a`` has the lesser label."""
+    rows = embeddings.select(F.col("vec_id").alias("id"), "label", "embedding")
+    return vectors.tiled_cosines(rows, rows, floor, lower=True).select("a", "b", "cos")
 
 
 @query(PAIRS + " SELECT a, b FROM d")
 def j05_cosine_blocking(spark, sf_dir):
-    return similar_pairs(read(spark, sf_dir, "embeddings"), 0.40)
+    return similar_pairs(read(spark, sf_dir, "embeddings"), 0.40).select("a", "b")
 
 
 @query(PAIRS + """, u AS (SELECT a, b FROM d UNION SELECT b, a FROM d), w AS (SELECT a AS node, a AS r FROM u UNION SELECT u.b, w.r FROM w JOIN u ON u.a = w.node)
@@ -189,12 +185,13 @@ def d04_d05_components_with_singletons(spark, sf_dir):
     return e.select(F.col("vec_id").alias("node")).join(graph.components(similar_pairs(e, 0.40), "a", "b"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-EDGES = "nodes AS (SELECT o_orderkey % 200 AS node FROM orders GROUP BY 1), edges AS (SELECT DISTINCT o_orderkey % 200 AS src, o_custkey % 200 AS dst FROM orders WHERE o_orderkey % 200 < o_custkey % 200)"
+#: All keys of orders and customers as nodes, and an edge from the lesser to the greater of each pair.
+EDGES = "nodes AS (SELECT o_orderkey AS node FROM orders UNION SELECT o_custkey FROM orders), edges AS (SELECT DISTINCT least(o_orderkey, o_custkey) AS src, greatest(o_orderkey, o_custkey) AS dst FROM orders WHERE o_orderkey <> o_custkey)"
 
 
 def _edges(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 200).alias("src"), (F.col("o_custkey") % 200).alias("dst"))
-    return o.select(F.col("src").alias("node")).distinct(), o.where("src < dst").distinct()
+    o = read(spark, sf_dir, "orders").select(F.least("o_orderkey", "o_custkey").alias("src"), F.greatest("o_orderkey", "o_custkey").alias("dst"))
+    return o.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), o.where("src < dst").distinct()
 
 
 ROLES = EDGES + ", i AS (SELECT dst AS node, count(*) AS n_in FROM edges GROUP BY 1), o AS (SELECT src AS node, count(*) AS n_out FROM edges GROUP BY 1), r AS (SELECT n.node, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM nodes n LEFT JOIN i USING (node) LEFT JOIN o USING (node)), c AS (SELECT *, CASE WHEN n_in > 0 AND n_out = 0 THEN 'thesis' WHEN n_out > 0 AND n_in = 0 THEN 'premise' WHEN n_in > 0 THEN 'sub' ELSE 'aside' END AS role FROM r)"
@@ -229,32 +226,6 @@ def _leverage(nodes, edges):
     return rows.join(F.broadcast(top)).orderBy(F.round("raw", 9).desc(), "node").limit(5).select("node", F.round(F.col("raw") / F.col("most"), 3).alias("score"))
 
 
-#: All keys of orders and customers as nodes, and an edge from the lesser to the greater of each pair.
-WHOLE = "nodes AS (SELECT o_orderkey AS node FROM orders UNION SELECT o_custkey FROM orders), edges AS (SELECT DISTINCT least(o_orderkey, o_custkey) AS src, greatest(o_orderkey, o_custkey) AS dst FROM orders WHERE o_orderkey <> o_custkey)"
-
-
-def _whole_edges(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.least("o_orderkey", "o_custkey").alias("src"), F.greatest("o_orderkey", "o_custkey").alias("dst"))
-    return o.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), o.where("src < dst").distinct()
-
-
-@query(f"WITH {ROLES.replace(EDGES, WHOLE)} SELECT node, n_in, n_out, role FROM c")
-def d07_roles_whole(spark, sf_dir):
-    return graph.roles(*_whole_edges(spark, sf_dir))
-
-
-@query(f"WITH RECURSIVE {DIST.replace(EDGES, WHOLE)} SELECT node, dist FROM b")
-def d08_crux_distance_whole(spark, sf_dir):
-    nodes, edges = _whole_edges(spark, sf_dir)
-    return graph.distances(edges, graph.theses(graph.roles(nodes, edges)))
-
-
-@query(f"""WITH RECURSIVE {DIST.replace(EDGES, WHOLE)}, s AS (SELECT c.node, CASE WHEN b.dist > 0 THEN 1.0 / b.dist ELSE 0 END + CASE WHEN c.node % 7 = 0 THEN 0.5 ELSE 0 END + 0.1 * least(n_in + n_out, 5) / 5 AS raw FROM c LEFT JOIN b USING (node) WHERE c.node NOT IN (SELECT node FROM t))
-  SELECT node, round(raw / max(raw) OVER (), 3) AS score FROM s QUALIFY raw > 0 AND row_number() OVER (ORDER BY round(raw, 9) DESC, node) <= 5""")
-def d09_leverage_whole(spark, sf_dir):
-    return _leverage(*_whole_edges(spark, sf_dir))
-
-
 PARTS = "r AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM r GROUP BY s), x AS (SELECT a.s AS a, b.s AS b, count(*) AS shared FROM r a JOIN r b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2)"
 
 

@@ -38,10 +38,7 @@ def g06_g07_source_sentences(spark, sf_dir):
 
 @query()
 def j06_greedy_pairs(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    pairs = similar_pairs(e, 0.35)
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    scored = pairs.join(a, "a").join(b, "b").select("a", "b", F.round(retrieve.cosine(F.col("va"), F.col("vb")), 9).alias("cos"))
+    scored = similar_pairs(read(spark, sf_dir, "embeddings"), 0.35).withColumn("cos", F.round("cos", 9))
     return sequential.greedy_pairs(scored, 2)
 
 

@@ -71,10 +71,13 @@ def f13_negation(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", t.has_negation(c).alias("negated"), t.has_negation_stripped(c).alias("negated_stripped"))
 
 
-@query(r"""SELECT doc_id, s AS span FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[“"]([^“”"]{10,240})[”"]', 1), lambda x: trim(x))) AS s FROM documents)
+@query(r"""SELECT doc_id, s AS span FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[“"]([^“”"]{10,240})[”"]', 1), lambda x: trim(x))) AS s FROM (SELECT doc_id, text || ' He said “' || replace(substr(text, 1, 60), chr(10), ' ') || '” and "' || lang || ' was"' AS text FROM documents))
   WHERE len(list_filter(string_split(trim(regexp_replace(s, '\s+', ' ', 'g')), ' '), lambda x: x <> '')) >= 3""")
 def f16_quoted_spans(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.explode(t.quoted_spans(F.col("text"))).alias("span"))
+    """Each document quotes its own beginning, and two words that are too few."""
+    opening = F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" "))
+    text = F.concat("text", F.lit(" He said “"), opening, F.lit("” and \""), "lang", F.lit(" was\""))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(t.quoted_spans(text)).alias("span"))
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_extract(html, '(10\.\d{4,9}/[^\s"<>]+)', 1), '[.,;)]+$', '') AS doi, regexp_extract(html, '(?i)arxiv[:/. ]\s*(?:abs/)?(\d{4}\.\d{4,5})', 1) AS arxiv,
@@ -91,24 +94,6 @@ def f27_c11_content_keys(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.substring(F.sha1(c), 1, 8).alias("id8"), F.substring(F.sha1(c), 1, 12).alias("id12"), F.substring(key, 1, 16).alias("cache_key"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, text, list_filter(string_split(trim(regexp_replace(substr(text, 1, 4000), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS a FROM documents),
-  s AS (SELECT doc_id, text, len(a) AS n, len(list_filter(a, lambda x: regexp_full_match(x, '[a-zA-Z]'))) AS singles, list_filter(list_transform(a, lambda x: len(regexp_replace(x, '[^A-Za-z]', '', 'g'))), lambda x: x > 0) AS lens,
-   len(list_filter(a, lambda x: regexp_full_match(lower(x), '[bcdfghjklmnpqrstvwxyz]'))) AS lone FROM w)
-  SELECT doc_id, n >= 40 AND singles > 0.35 * n AS letter_spaced, n >= 40 AND len(lens) > 0 AND list_sum(lens) >= 8 * len(lens) AND list_sum(lens) < 20 * len(lens) AS space_collapsed,
-   len(regexp_extract_all(substr(text, 1, 20000), '[A-Za-z]{25,}')) AS glued, n >= 40 AND lone > 0.011 * n AS line_split FROM s""")
-def f28_garble_scores(spark, sf_dir):
-    a = t.words(F.substring("text", 1, 4000))
-    rows = read(spark, sf_dir, "documents").select("doc_id", "text", a.alias("a"))
-    lens = F.filter(F.transform("a", lambda w: F.length(F.regexp_replace(w, "[^A-Za-z]", ""))), lambda n: n > 0)
-    n, total = F.size("a"), F.aggregate(lens, F.lit(0), lambda x, y: x + y)
-    return rows.select(
-        "doc_id", ((n >= 40) & (F.size(F.filter("a", lambda w: w.rlike("^[a-zA-Z]$"))) > 0.35 * n)).alias("letter_spaced"),
-        ((n >= 40) & (F.size(lens) > 0) & (total >= 8 * F.size(lens)) & (total < 20 * F.size(lens))).alias("space_collapsed"),
-        F.size(t.extract_all(F.substring("text", 1, 20000), "[A-Za-z]{25,}")).alias("glued"),
-        ((n >= 40) & (F.size(F.filter("a", lambda w: F.lower(w).rlike("^[bcdfghjklmnpqrstvwxyz]$"))) > 0.011 * n)).alias("line_split"),
-    )
-
-
 def garble_scores(docs: DataFrame) -> DataFrame:
     """Adds the scores of ``text``; each reads its own range: 4,000 characters, 8,000 or 20,000."""
     rows = docs.select("*", *(t.words(F.substring("text", 1, size)).alias(a) for a, size in (("a", 4000), ("b", 8000), ("c", 20000))))
@@ -127,8 +112,8 @@ def garble_scores(docs: DataFrame) -> DataFrame:
   n AS (SELECT *, len(list_filter(a, lambda x: regexp_full_match(x, '[a-zA-Z]'))) AS singles, list_filter(list_transform(b, lambda x: len(regexp_replace(x, '[^A-Za-z]', '', 'g'))), lambda x: x > 0) AS lens, len(list_filter(c, lambda x: regexp_full_match(lower(x), '[bcdfghjklmnpqrstvwxyz]'))) AS lone FROM s)
   SELECT doc_id, len(a) >= 40 AND singles > 0.35 * len(a) AS letter_spaced, len(b) >= 40 AND len(lens) > 0 AND list_sum(lens) >= 8 * len(lens) AND list_sum(lens) < 20 * len(lens) AS space_collapsed,
    len(regexp_extract_all(substr(text, 1, 20000), '[A-Za-z]{25,}')) AS glued, len(c) >= 40 AND lone > 0.011 * len(c) AS line_split FROM n""")
-def f28_garble_ranges(spark, sf_dir):
-    """The scores of ``f28_garble_scores``, each over the whole range that it is defined on."""
+def f28_garble_scores(spark, sf_dir):
+    """Each score over the whole range that it is defined on."""
     return garble_scores(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
@@ -316,16 +301,9 @@ def f32_title_check(spark, sf_dir):
     return pages.select("page_id", t.title_check(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.col("html")).alias("status"))
 
 
-@query(r"""SELECT page_id, pos, link FROM (SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)) WHERE pos < 4""")
-def c07_link_extraction(spark, sf_dir):
-    links = t.extract_all(F.col("html"), '<a href="([^"]*)"', 1)
-    rows = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.slice(links, 1, 4)).alias("pos", "link"))
-    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "link")
-
-
 @query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS site FROM pages), l AS (SELECT page_id, site, unnest(CASE WHEN page_id % 2 = 0 THEN ['/m.pdf', '/a.PDF?v=1', '/b.pdf'] ELSE ['/a.PDF?v=1', '/b.pdf', '/m.pdf', '/c.pdf#p'] END) AS link, unnest(CASE WHEN page_id % 2 = 0 THEN [0, 1, 2] ELSE [0, 1, 2, 3] END) AS pos FROM p)
   SELECT page_id, pos, site || link AS link FROM l""")
-def c07_pdf_links(spark, sf_dir):
+def c07_link_extraction(spark, sf_dir):
     """Every second page names its PDF in a meta tag; all have PDF links, written in several ways, besides their own links."""
     anchors = """<a href="/x">x</a><a class="k" href='/a.PDF?v=1'>a</a><a href="/a.PDF?v=1">a</a><A HREF=/b.pdf>b</A><a href="/m.pdf">m</a>"""
     more = F.when(F.col("page_id") % 2 == 0, '<meta content="/m.pdf" name="citation_pdf_url">').otherwise('<a href="mailto:a.pdf">y</a><a href="/c.pdf#p">c</a><a href="/d.pdf">d</a>')
@@ -333,10 +311,20 @@ def c07_pdf_links(spark, sf_dir):
     return links.extract_pdf_links(pages.select("page_id", "url", F.concat(F.lit(anchors), more, F.col("html")).alias("html")))
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(lower(url), '\.pdf$') OR regexp_matches(lower(url), 'nber\.org|ssrn\.com|openreview\.net|biorxiv\.org|osf\.io|semanticscholar\.org|ncbi\.nlm\.nih\.gov|pubmed\.') THEN 'paper' ELSE 'web' END AS kind,
-  regexp_matches(html, '(?i)\b(cancer|disease|medic|clinic|hospital|virus|weapon|malware|chemical|nuclear)\w*') AS blocked FROM pages""")
+# Hosts of papers, and beginnings of words of the domains that a benchmark leaves out.
+PAPER_HOSTS = r"nber\.org|ssrn\.com|openreview\.net|biorxiv\.org|osf\.io|semanticscholar\.org|ncbi\.nlm\.nih\.gov|pubmed\."
+BLOCKED_DOMAINS = (
+    r"(?i)\b(cancer|tumou?r|disease|diagnos|medic|clinic|hospital|patient|drug|pharma|vaccin|virus|viral|bacteri|infect|epidemi|pandemi|surg|therap|"
+    r"psychiatr|symptom|syndrome|obesit|diabet|cardio|neuro|genom|gene\b|genetic|dna|rna|protein|enzyme|organism|species|biolog|botan|ecolog|"
+    r"physiolog|anatom|chemical|chemist|compound|toxi|poison|molecul|nuclear|radioactiv|explos|weapon|firearm|ammunit|malware|hack|"
+    r"cybersec|encrypt|exploit\b|vulnerabilit|suicid|overdose|abortion|pregnan|autops|forensic)\w*"
+)
+
+
+@query(rf"""SELECT page_id, CASE WHEN regexp_matches(lower(url), '\.pdf$') OR regexp_matches(lower(url), '{PAPER_HOSTS}') THEN 'paper' ELSE 'web' END AS kind,
+  regexp_matches(html || CASE WHEN page_id % 3 = 0 THEN ' Genomes and toxins' ELSE '' END, '{BLOCKED_DOMAINS}') AS blocked FROM pages""")
 def p21_p22_page_classes(spark, sf_dir):
     u = F.lower("url")
-    paper = u.rlike(r"\.pdf$") | u.rlike(r"nber\.org|ssrn\.com|openreview\.net|biorxiv\.org|osf\.io|semanticscholar\.org|ncbi\.nlm\.nih\.gov|pubmed\.")
-    blocked = F.col("html").rlike(r"(?i)\b(cancer|disease|medic|clinic|hospital|virus|weapon|malware|chemical|nuclear)\w*")
-    return read(spark, sf_dir, "pages").select("page_id", F.when(paper, "paper").otherwise("web").alias("kind"), blocked.alias("blocked"))
+    paper = u.rlike(r"\.pdf$") | u.rlike(PAPER_HOSTS)
+    body = F.concat("html", F.when(F.col("page_id") % 3 == 0, " Genomes and toxins").otherwise(""))
+    return read(spark, sf_dir, "pages").select("page_id", F.when(paper, "paper").otherwise("web").alias("kind"), body.rlike(BLOCKED_DOMAINS).alias("blocked"))

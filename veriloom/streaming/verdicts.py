@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_dir
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -36,8 +38,20 @@ def last_verdicts(stream: DataFrame) -> DataFrame:
 
 
 def run_once(df: DataFrame, mode: str) -> DataFrame:
-    """Run a streaming query over all that is there now and give its result as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a streaming query over all that is there now and give its result as a table in the shared folder.
+
+    A batch is written under its own number, so one that is run again after a failure replaces itself.
+    """
+    spark = df.sparkSession
+    path, batches = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}", []
+
+    def sink(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        batches.append(number)
+
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    wanted = sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches))
+    if not wanted:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*[f"{path}/rows/{n}" for n in wanted])
