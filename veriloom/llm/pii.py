@@ -2,13 +2,18 @@
 
 Base spans are what the plain patterns find in the text as it is. A chain of transducers then rewrites the text,
 each keeping for every character of its output the span of source characters it stands for: look-alike and
-full-width characters become ASCII, invisible ones vanish, runs of spelled digits become digits, and "(at)" or "dot"
-in an address become signs. The same patterns run on the result; what they find there by help of a rewritten
-character is mapped back to the source and added where it does not overlap a base span of its kind.
+full-width characters become ASCII, invisible ones vanish, spelled digits among digits become digits (with "plus"
+before them a sign), and "(at)", "AT", "dot" or "[.]" in an address become signs. The same patterns run on the
+result; what they find there by help of a rewritten character is mapped back to the source and added, unless a base
+span of its kind overlaps it; one that holds such base spans whole and more text is added beside them.
+
+A bare "at" or "dot" is a word of prose as well: an address written with bare words only needs a spelled dot and a
+known last label, one with a capital "AT" a known last label; brackets need neither.
 
 Defined cases: null counts as empty and has no spans; ties in start are ordered by kind; repeated rows are each
 reported; an empty table gives no rows; other columns of the input are not read. Every pattern takes time linear in
-the text, whatever its runs of digits or letters.
+the text, whatever its runs of digits, letters, signs or spaces: each looks at a bounded stretch around a sign, or
+runs on without stepping back.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +37,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile("[0-9]")
 
-# Characters that look like an ASCII one, and the words for digits.
+# Characters that look like an ASCII one, the words for digits and signs, and last labels of hosts.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I",
@@ -44,19 +50,26 @@ SPELLED = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+AT_WORDS, DOT_WORDS = "at|arroba", "dot|punkt|punto"
+LAST_LABELS = frozenset("com org net edu gov mil int info biz name io co eu de fr es it uk us ca au ch at nl be pt pl se no dk fi ie in jp cn br mx ar cl test example invalid".split())
 INVISIBLE = frozenset("​‌‍⁠﻿­")
 
 _digit = "|".join(sorted(SPELLED, key=len, reverse=True))
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_digit})(?:[ \-,.]{{1,2}}(?:{_digit}|[0-9]+)){{3,}}(?!\w)", re.I)
-SPELLED_PART = re.compile(rf"({_digit})|([0-9]+)|([ \-,.]+)", re.I)
-AT_DOT = re.compile(
-    r"(?<![\w.])[\w.%+-]+(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
-    r"[\w-]+(?:(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.)[\w-]+)+",
+_word = rf"(?:{_digit})(?![^\W\d_])"
+_open, _close = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
+_dot = rf"\s{{0,3}}{_open}(?:{DOT_WORDS}|\.){_close}\s{{0,3}}|\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}"
+SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:plus {{1,2}})?(?:{_word}|[0-9]++)(?:(?:[ \-,.]{{1,2}}|{_dot})(?:{_word}|[0-9]++))++", re.I)
+SPELLED_PART = re.compile(rf"(plus {{1,2}})|({_word})|([0-9]+)|({_dot})|([ \-,.]+)", re.I)
+ANY_WORD = re.compile(_word, re.I)
+AT = re.compile(rf"\s{{0,3}}{_open}(?:{AT_WORDS}|@){_close}\s{{0,3}}|\s{{1,3}}(?:{AT_WORDS})\s{{1,3}}|\s{{0,3}}@\s{{0,3}}", re.I)
+SPELLED_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:(?:{_dot}|\.)[A-Za-z0-9-]++)++", re.I)
+SPELLED_DOT = re.compile(_dot, re.I)
+NUMBER_DOT = re.compile(rf"(?<=[0-9])(?:{_dot})(?=[0-9])", re.I)
+HINT = re.compile(
+    rf"{_open}(?:{AT_WORDS}|{DOT_WORDS}|@|\.){_close}|\s(?:{DOT_WORDS})\s|\s(?-i:AT)\s|\s@|@\s"
+    rf"|(?<![^\W_]){_word}[ \-,.]{{1,2}}(?:{_word}|[0-9])|[0-9][ \-,.]{{1,2}}{_word}",
     re.I,
 )
-AT = re.compile(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*@\s*", re.I)
-DOT = re.compile(r"\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+", re.I)
-HINT = re.compile(rf"[\[({{<]\s*(?:at|dot)\s*[\])}}>]|\sdot\s|(?<!\w)(?:{_digit})(?:[ \-,.]{{1,2}}(?:{_digit}|[0-9]+)){{3}}", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -137,28 +150,53 @@ def homoglyphs(t: Traced) -> None:
 
 
 def spelled_digits(t: Traced) -> None:
+    """Digit words beside digits or each other: words in a row close up, other separators become one sign."""
     edits = []
     for m in SPELLED_RUN.finditer(t.text):
+        if not ANY_WORD.search(m[0]):
+            continue
+        gap, before = None, ""
         for p in SPELLED_PART.finditer(t.text, *m.span()):
             if p[1]:
-                edits.append((*p.span(), SPELLED[p[1].lower()]))
-            elif p[3]:
-                edits.append((*p.span(), ""))
+                edits.append((*p.span(), "+"))
+            elif p[4] or p[5]:
+                gap = p
+            else:
+                now = "word" if p[2] else "digits"
+                if gap is not None:
+                    if gap[4] or (gap[0] == "." and "word" in (before, now)):
+                        edits.append((*gap.span(), "."))
+                    elif "word" in (before, now):
+                        edits.append((*gap.span(), "" if before == now else " "))
+                if p[2]:
+                    edits.append((*p.span(), SPELLED[p[2].lower()]))
+                gap, before = None, now
     if edits:
         t.put(edits)
 
 
 def at_and_dot(t: Traced) -> None:
-    """Only where a dot is spelled out: bare words such as "at" alone are left as they are."""
-    edits = []
-    for m in AT_DOT.finditer(t.text):
-        if not DOT.search(m[0]) and not re.search(r"[\[({<]\s*at\s*[\])}>]", m[0], re.I):
+    """Spelled signs of addresses become signs, outwards from each "at"; spelled dots between numbers likewise."""
+    text, edits, free = t.text, [], 0
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        domain = SPELLED_DOMAIN.match(text, m.end())
+        if start == m.start() or not domain:
+            continue
+        dots = [d.span() for d in SPELLED_DOT.finditer(text, *domain.span())]
+        sign, known = m[0].strip(), re.split(r"[\s.\])}>]", domain[0])[-1].lower() in LAST_LABELS
+        bracketed = sign[0] in "[({<" or any("[" in text[a:b] or "(" in text[a:b] or "{" in text[a:b] or "<" in text[a:b] for a, b in dots)
+        loud = sign == "AT" and text[start : m.start()] != text[start : m.start()].upper()
+        if m[0] == "@" and not dots or not (bracketed or known and (dots or loud or "@" in sign)):
             continue
-        first = AT.search(t.text, *m.span())
-        edits.append((*first.span(), "@"))
-        edits += [(*d.span(), ".") for d in DOT.finditer(t.text, first.end(), m.end())]
+        edits += [(*m.span(), "@"), *[(a, b, ".") for a, b in dots]]
+        free = domain.end()
+    taken = {e[:2] for e in edits}
+    edits += [(*m.span(), ".") for m in NUMBER_DOT.finditer(text) if m.span() not in taken]
     if edits:
-        t.put(edits)
+        t.put(sorted(edits))
 
 
 def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -168,14 +206,17 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     t = Traced(text)
     for step in (homoglyphs, spelled_digits, at_and_dot):
         step(t)
-    taken = {kind: [s[1:] for s in base if s[0] == kind] for kind in KINDS}
-    found = []
+    held = {kind: [s[1:] for s in base if s[0] == kind] for kind in KINDS}
+    found, free = [], dict.fromkeys(KINDS, 0)
     for kind, a, b in plain_spans(t.text):
         start, end = t.at[a], t.end[b - 1]
-        if any(t.new[a:b]) or end - start != b - a:
-            if not any(s < end and start < e for s, e in taken[kind]):
-                taken[kind].append((start, end))
-                found.append((kind, start, end))
+        if start < free[kind] or not (any(t.new[a:b]) or end - start != b - a):
+            continue
+        first, last = bisect_right(held[kind], start, key=lambda s: s[1]), bisect_left(held[kind], end, key=lambda s: s[0])
+        over = held[kind][first:last]
+        if not over or start <= over[0][0] and over[-1][1] <= end and (start, end) != over[0]:
+            free[kind] = end
+            found.append((kind, start, end))
     return found
 
 
