@@ -267,7 +267,63 @@ def test_density_confirms_marked_parts():
     assert both.count("Paragraph") == 12 and "junk" not in both
 
 
+def test_link_lists_of_unmarked_pages():
+    body = "".join(f"<p>Paragraph {k} of the body goes on for a good while, so that it counts as prose.</p>" for k in range(6))
+    links = "".join(f"<li><a href=/{k}>Another story with a long title, number {k}</a></li>" for k in range(40))
+    for page in (f"<div><ul>{links}</ul></div><div><h2>Head</h2>{body}</div>", f"<div><div>{body}</div><div><ul>{links}</ul></div></div>", f"<table><tr><td>{links}<td><div>{body}</div></table>"):
+        got = html_text.main_text(f"<body>{page}</body>")
+        assert got.count("Paragraph") == 6 and "story" not in got
+    assert html_text.density(58, 1, 58, 1, 0.5) == 0 < html_text.density(58, 0, 0, 0, 0.5)
+
+
+def reference_densities(node, inside):
+    """C, T, LC, LT by walking each subtree anew, then the formula as it is published."""
+    import math
+
+    def below(x):
+        return [x] + [y for k in x.kids if not k.noise for y in below(k)]
+
+    def chars(x):
+        return sum(len(" ".join(p.split())) for y in below(x) for p in y.parts if isinstance(p, str))
+
+    def linked(x):
+        return chars(x) if x.tag == "a" else sum(linked(k) for k in x.kids if not k.noise)
+
+    c, t = chars(node), len(below(node)) - 1
+    lc, lt = linked(node), sum(y.tag == "a" for y in below(node))
+    share = linked(inside) / max(1, chars(inside))
+    base = math.log(c / max(1, c - lc) * max(1, lc) + share * c + math.e)
+    value = math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)), base) if c else 0
+    return c / max(1, t) * value
+
+
+def test_densities_against_brute_force():
+    rng = random.Random(11)
+    for _ in range(200):
+        page = "<body>" + "".join(rng.choice(["<div>", "</div>", "<p>", "<a href=x>", "</a>", "<b>", "</b>", "<ul>", "</ul>", "<li>", "<span>", "</span>", "word ", "some more words here ", "<nav>", "</nav>"]) for _ in range(60))
+        root, nodes = html_text.parse(page)
+        html_text.spread_noise(nodes)
+        html_text.measure(nodes)
+        body = next(x for x in nodes if x.tag == "body")
+        live = [x for x in nodes if not x.noise and x.chars]
+        want = {id(x): reference_densities(x, body) for x in live}
+        assert all(abs(x.density - want[id(x)]) < 1e-9 for x in live)
+        assert all(abs(x.total - sum(want.get(id(k), 0.0) for k in x.kids)) < 1e-9 for x in live)
+
+
+def test_parsing_is_linear():
+    import time
+
+    for make in (lambda n: "<span>" * n + "</q>" * n, lambda n: "<q><div>" + "<span>" * n + "</q>" * n, lambda n: "<header>" * n, lambda n: "<ul><li>" * n, lambda n: "<p>" + "<i>" * n + "<div>" * n, lambda n: "<td>" * n + "<tr>" * n):
+        started = time.perf_counter()
+        html_text.main_text(make(40_000) + "text")
+        assert time.perf_counter() - started < 8
+
+
 def test_extract_rows(spark):
+    clash = "page_id long, url string, html string, text string, n_chars string, density double, tag int"
+    more = spark.createDataFrame([(1, "u", PAGE, "x", "y", 0.5, 1)], clash)
+    assert html_text.extract_text(more).columns == ["page_id", "url", "text", "n_chars"] and html_text.extract_text(more).count() == 1
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(pages).collect()
     assert len(got) == 3 and sorted(r["n_chars"] for r in got)[:2] == [0, 0]

@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a DOM tree. Every node has its characters C, tags T, link characters LC and link tags LT, and from
-them a density: characters per tag, lowered where much of the text is links, relative to the whole body. The node
+them a composite density: characters per tag times a logarithm whose base grows with the text in links, so that text
+that is all links has density 0. The node
 whose children's densities have the largest sum holds the article; the least density on its path up to the body is
 the threshold that a part outside it must reach to belong to the article as well.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,65 +55,90 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "strict", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "noise", "strict", "held", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts, self.kids = tag, parent, [], []
-        self.noise = self.strict = False
+        self.noise = self.strict = self.held = False
         if parent is not None:
+            self.held = parent.held or parent.tag in ("article", "main")
             parent.parts.append(self)
             parent.kids.append(self)
 
 
+class Open:
+    """The open elements, with the places of each tag among them, so that no rule searches the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks, self.others = [root], {}, [], []
+
+    def push(self, node: Node) -> None:
+        k = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(k)
+        if node.tag in BLOCK:
+            self.blocks.append(k)
+            if node.tag != "p":
+                self.others.append(k)
+
+    def pop_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            gone = len(self.stack) - 1
+            self.at[self.stack.pop().tag].pop()
+            for some in (self.blocks, self.others):
+                if some and some[-1] == gone:
+                    some.pop()
+
+    def last(self, tag: str) -> int:
+        return (self.at.get(tag) or [0])[-1]
+
+    def close(self, tag: str) -> None:
+        """An end tag: the last open element of its name, which an inline one seeks within its block only."""
+        if (k := self.last(tag)) and (tag in BLOCK or tag in CLOSES or not self.blocks or self.blocks[-1] <= k):
+            self.pop_to(k)
+
+    def imply(self, tag: str) -> None:
+        """What a start tag ends: a paragraph before a block, items and cells before their like in one list or table."""
+        if tag in BLOCK and (k := self.last("p")) and (not self.others or self.others[-1] < k):
+            self.pop_to(k)
+        if tag in CLOSES:
+            scope = max(self.last(x) for x in SCOPE[tag])
+            ended = [places[n] for x in CLOSES[tag] if (places := self.at.get(x)) and (n := bisect_right(places, scope)) < len(places)]
+            if ended:
+                self.pop_to(min(ended))
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes, parents before their children."""
     root = Node("html", None)
-    nodes, stack, last = [root], [root], 0
+    nodes, opened, last = [root], Open(root), 0
     scan, n = TOKEN.search, len(page)
     while m := scan(page, last):
         if m.start() > last:
-            stack[-1].parts.append(page[last : m.start()])
+            opened.stack[-1].parts.append(page[last : m.start()])
         last = m.end()
         name = m[2] or m[5]
         if not name:
             continue
         tag, rest = name.lower(), m[3] if m[2] else m[6]
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and tag not in CLOSES and stack[k].tag in BLOCK:
-                    break
+            opened.close(tag)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(x.tag == "body" for x in stack):
-                del stack[1:]
-            else:
+            if tag == "html" or opened.last("body"):
                 continue
-        if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK and stack[k].tag != "p":
-                    break
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SCOPE[tag]:
-                    break
-                if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
-        node = Node(tag, stack[-1])
+            opened.pop_to(1)
+        opened.imply(tag)
+        node = Node(tag, opened.stack[-1])
         nodes.append(node)
         judge(node, rest)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, last)
             last = end.end() if end else n
         elif tag not in VOID and not (rest.endswith("/") and tag not in BLOCK and tag in ("path", "g", "use")):
-            stack.append(node)
+            opened.push(node)
     if last < n:
-        stack[-1].parts.append(page[last:])
+        opened.stack[-1].parts.append(page[last:])
     return root, nodes
 
 
@@ -132,9 +159,7 @@ def judge(node: Node, rest: str) -> None:
     if "hidden" in rest.lower().split():
         words.add("notice")
     if node.tag == "header" or "header" in words:
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        node.noise = inside is None
+        node.noise = not node.held
         node.strict = node.noise and node.tag == "header"
     if words & NOISE_WORDS and node.tag not in ("body", "article", "main"):
         node.noise = True
@@ -177,6 +202,17 @@ def own_chars(node: Node) -> int:
     return sum(len(" ".join(p.split())) for p in node.parts if isinstance(p, str))
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters per tag times log(C/LC * T/LT) to the base ln(C/(C - LC) * LC + share * C + e).
+
+    Counts of 0 in a denominator are 1; ``share`` is the body's part of characters in links. Text that is all links
+    has density 0; without links the base still exceeds e's logarithm, as LC counts as 1.
+    """
+    c, t, lc, lt = chars, max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = math.log(c / max(1, c - link_chars) * lc + share * c + math.e)
+    return c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) / math.log(base))
+
+
 def measure(nodes: list[Node]) -> None:
     """Characters, tags, link characters and link tags of each subtree, then densities and their sums."""
     for node in nodes:
@@ -196,10 +232,7 @@ def measure(nodes: list[Node]) -> None:
         if node.noise or not node.chars:
             node.density = 0.0
             continue
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        base = math.log(c / max(1, c - node.link_chars) * node.link_chars + share * c + math.e)
-        node.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt))) / max(base, 1.0)
-        node.density = node.density or c / t
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in nodes:
         node.total = sum(k.density for k in node.kids)
 
