@@ -1,14 +1,15 @@
 """Benchmark decontamination: windows as long as each item, SimHash, multi-index Hamming search, exact check.
 
 Texts become shingles of five words (runs of letters, digits and non-ASCII characters, lower-cased). A window has
-as many shingles as an item. Its 64-bit SimHash, with each shingle weighing its multiplicity, is looked up in four
-tables of 16 bits: of two fingerprints within ``radius`` bits, one block at least differs in radius // 4 bits or
-fewer, so the tables give every item within the radius. Candidates are then decided by the exact weighted
+as many shingles as an item. Its 64-bit SimHash, with each shingle weighing its multiplicity, is looked up in eight
+tables of 8 bits: of two fingerprints within ``radius`` bits, one block at least differs in radius // 8 bits or
+fewer, so the tables give every item within the radius. A table has 256 masks with a bit for each item of one size. Candidates are then decided by the exact weighted
 similarity of the two multisets of shingles, sum of minima over sum of maxima. A window that has no shingle in
 common with an item has similarity 0, so only windows over a shared shingle are hashed.
 
 The items are sent to the tasks in slices of bounded size, ``slice_bytes`` of text at most; a larger benchmark takes
-several passes over the documents. At similarity 0.8 the expected distance is 10 bits with deviation 3, so the
+several passes over the documents. A task's tables take 256 bytes an item, and windows are looked up in parts, so
+that windows times items are bounded too. At similarity 0.8 the expected distance is 10 bits with deviation 3, so the
 default radius of 20 keeps all but some 3 in 10,000 of the windows that are just similar enough.
 
 Defined cases: a null or empty text, or an item without words, matches nothing; an item or text under five words is
@@ -32,7 +33,10 @@ from .hashing import SIGNS, text_shingles
 RADIUS = 20
 SIMILARITY = 0.8
 SLICE_BYTES = 4 << 20
-BLOCKS = 4
+BLOCKS = 8
+WINDOWS = 20_000  # hashed at once; windows times items of one size are bounded as well
+CELLS = 8 << 20
+SPAN = 1 << 16  # shingles over which sums are held
 
 
 def simhash(sums: np.ndarray) -> np.ndarray:
@@ -46,11 +50,9 @@ def signs(hashes: np.ndarray) -> np.ndarray:
 
 
 def near_table(values: np.ndarray, radius: int) -> np.ndarray:
-    """For each value of 16 bits, a packed mask of the items whose block lies within the radius."""
-    ones = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
-    every = np.arange(1 << 16, dtype=np.uint16)
-    columns = [ones[every ^ v] <= radius for v in values]
-    return np.packbits(np.stack(columns, axis=1), axis=1)
+    """For each value of a block of 8 bits, a packed mask of the items whose block lies within the radius."""
+    every = np.arange(256, dtype=np.uint8)
+    return np.packbits(np.bitwise_count(every[:, None] ^ values[None, :]) <= radius, axis=1)
 
 
 class Items:
@@ -69,19 +71,21 @@ class Items:
         self.flat, self.owner = flat[order], owner[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[flat & np.uint64((1 << 20) - 1)] = True
-        self.radius, self.least, self.tables = radius, least, None
-
-    def candidates(self, prints: np.ndarray) -> np.ndarray:
-        """windows x items: which fingerprints lie within the radius, found through the tables."""
-        blocks = lambda x: x.view(np.uint16).reshape(-1, BLOCKS)
-        if self.tables is None:
-            self.tables = [near_table(blocks(self.prints)[:, b], self.radius // BLOCKS) for b in range(BLOCKS)]
-        mask = np.zeros((len(prints), self.tables[0].shape[1]), np.uint8)
+        self.radius, self.least, self.tables = radius, least, {}
+
+    def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of the fingerprints within the radius of an item of this size, found through the tables."""
+        blocks = lambda x: x.view(np.uint8).reshape(-1, BLOCKS)
+        if size not in self.tables:
+            who = np.flatnonzero(self.sizes == size)
+            self.tables[size] = who, [near_table(blocks(self.prints[who])[:, b], self.radius // BLOCKS) for b in range(BLOCKS)]
+        who, tables = self.tables[size]
+        mask = np.zeros((len(prints), tables[0].shape[1]), np.uint8)
         for b in range(BLOCKS):
-            mask |= self.tables[b][blocks(prints)[:, b]]
-        window, item = np.nonzero(np.unpackbits(mask, axis=1, count=len(self.ids)))
-        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.radius
-        return window[close], item[close]
+            mask |= tables[b][blocks(prints)[:, b]]
+        window, item = np.nonzero(np.unpackbits(mask, axis=1, count=len(who)))
+        close = np.bitwise_count(prints[window] ^ self.prints[who[item]]) <= self.radius
+        return window[close], who[item[close]]
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         values, counts = np.unique(window, return_counts=True)
@@ -106,13 +110,14 @@ class Items:
             np.add.at(opened, np.maximum(shared - width + 1, 0), 1)
             np.add.at(opened, np.minimum(shared, n - width) + 1, -1)
             starts = np.flatnonzero(np.cumsum(opened)[: n - width + 1])
-            for part in np.array_split(starts, max(1, len(starts) // 20_000)):
+            most = max(1, min(WINDOWS, CELLS // int((self.sizes == size).sum())))
+            spans = np.split(starts, np.flatnonzero(np.diff(starts // SPAN)) + 1)
+            for part in [p for span in spans for p in np.array_split(span, -(-len(span) // most))]:
                 lo, hi = part[0], part[-1] + width
                 sums = np.zeros((hi - lo + 1, 64), np.int32)
                 np.cumsum(signs(hashes[lo:hi]), axis=0, out=sums[1:])
-                window, item = self.candidates(simhash(sums[part - lo + width] - sums[part - lo]))
-                fits = self.sizes[item] == size
-                for w, i in zip(part[window[fits]].tolist(), item[fits].tolist(), strict=True):
+                window, item = self.candidates(simhash(sums[part - lo + width] - sums[part - lo]), int(size))
+                for w, i in zip(part[window].tolist(), item.tolist(), strict=True):
                     if (s := self.similarity(hashes[w : w + width], i)) >= self.least and s > best.get(i, 0.0):
                         best[i] = s
         return {self.ids[i]: s for i, s in sorted(best.items())}
