@@ -26,6 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import build, filter_pages, probe
 from .common import fresh_path, join_groups, materialize
 
 BLOCK = 1 << 20
@@ -34,7 +35,11 @@ LEAST = 100
 
 
 def classify(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, digest, record_type, refers_to for every row."""
+    """page_id, url, payload, digest, record_type, refers_to for every row.
+
+    Groups of equal payloads are found on digests; only rows that a Bloom filter of the repeated digests lets through
+    meet their group in a join, so the other payloads never shuffle.
+    """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
@@ -46,7 +51,11 @@ def classify(pages: DataFrame, least: int = LEAST) -> DataFrame:
         narrow.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("size")).where("size > 1"),
         "payload-groups",
     )
-    joined = join_groups(rows, groups, "digest", "size", pages.count())
+    pages_n = filter_pages(groups.count())
+    bitmaps = materialize(build(groups.select(F.xxhash64("digest").alias("h")), "h", pages_n), "payload-filter")
+    probed = probe(rows.withColumn("h", F.xxhash64("digest")), "h", pages_n, bitmaps, "hit")
+    alone = probed.where("not hit").select(*rows.columns, *[F.lit(None).cast("long").alias(c) for c in ("first", "size")])
+    joined = alone.unionByName(join_groups(probed.where("hit").select(*rows.columns), groups, "digest", "size", pages.count()))
     again = F.col("size").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id", "url", "payload", F.lower(F.hex("digest")).alias("digest"),
