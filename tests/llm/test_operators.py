@@ -111,6 +111,39 @@ def test_large_bucket_and_tiles(spark, monkeypatch):
     assert {r["doc_id"]: r["n_links"] for r in jaccard_join.similar_groups(df).collect()} == want
 
 
+def test_hot_buckets_are_thinned(spark, monkeypatch):
+    for name, value in {"HOT": 40, "SAMPLE": 2, "PIVOTS": 4, "TILE_SETS": 64}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    base, other = prose(21, 250), prose(22, 250)
+    rows = [(k, near(base, k, 3)) for k in range(150)] + [(300 + k, near(other, k, 3)) for k in range(3)] + [(400 + k, prose(700 + k, 60)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: word_set(t) for d, t in rows}
+    want = {d: sum(len(s & sets[e]) >= 0.8 * len(s | sets[e]) for e in sets if e != d) for d, s in sets.items()}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.similar_groups(df).collect()} == want
+
+
+def edited(text, seed, least, most):
+    """A copy whose similarity lies between the bounds, by one replaced word after another."""
+    words, rng, base = text.split(), random.Random(seed), word_set(text)
+    while True:
+        words[rng.randrange(len(words))] = f"other{rng.randrange(10**6)}"
+        now = word_set(" ".join(words))
+        s = len(base & now) / len(base | now)
+        if s < least:
+            words = text.split()
+        elif s <= most:
+            return " ".join(words)
+
+
+def test_recall_just_above_the_bound(spark):
+    pairs = [(k, prose(5000 + k, 150)) for k in range(400)]
+    rows = [(2 * k, t) for k, t in pairs] + [(2 * k + 1, edited(t, k, 0.8, 0.85)) for k, t in pairs]
+    got = {r["doc_id"]: r["class_id"] for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k, _ in pairs)
+    print(f"found {found} of {len(pairs)} pairs between 0.80 and 0.85")
+    assert found >= 0.98 * len(pairs)
+
+
 def test_split_bucket_finds_pairs():
     import numpy as np
 
@@ -224,6 +257,18 @@ def brute_similarity(text, item):
     return best
 
 
+def test_many_items_take_little_memory():
+    import tracemalloc
+
+    texts = [prose(10_000 + k, 12) for k in range(4000)]
+    tracemalloc.start()
+    found = decontaminate.Items(list(range(4000)), texts)
+    assert found.match_all([texts[7] + " " + texts[8], "nothing of them"]) == [{7: 1.0, 8: 1.0}, {}]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
 def test_decontamination_against_brute_force():
     items = [prose(400 + k, 12 + 5 * k) for k in range(8)]
     found = decontaminate.Items(list(range(8)), items)
@@ -503,6 +548,13 @@ def test_pack(docs, empty):
 # 10
 
 
+def test_archives_with_clashing_columns(spark, tmp_path):
+    rows = [(k, "u", f"<p>{k % 3}</p>" * 40, 1, "d", "r", 5, "h") for k in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, size int, digest string, record_type string, refers_to int, hit string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(pages, str(tmp_path)).collect()}
+    assert got == {k: ("response", None) if k < 3 else ("revisit", k % 3) for k in range(9)}
+
+
 def test_archives(spark, tmp_path):
     big = "<p>" + "long " * 50 + "</p>"
     rows = [(1, "http://a/1", big), (2, "http://a/ü x\r\n", big), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", big), (1, "v", big), (7, "w", "z" * 3_000_000), (8, "w", "z" * 3_000_000)]
