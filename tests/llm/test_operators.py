@@ -183,9 +183,8 @@ def test_difference_cover(q):
     assert len(cover) == q + 1 and {(a - b) % period for a in cover.tolist() for b in cover.tolist()} == set(range(period))
 
 
-@pytest.mark.parametrize("length,order,chunk", [(400, 13, 4 << 20), (60, 5, 3000)])
-def test_remove_repeats(docs, empty, length, order, chunk):
-    texts = [(r[0], (r[1] or "").encode()) for r in odd_rows()]
+def repeats_by_brute_force(texts, length):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each text, by looking every string up."""
     seen = Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))
     want = Counter()
     for d, b in texts:
@@ -195,11 +194,52 @@ def test_remove_repeats(docs, empty, length, order, chunk):
                 mask[i : i + length] = b"\1" * length
         spans = sum(mask[k] and (k == 0 or not mask[k - 1]) for k in range(len(mask)))
         want[(d, len(b), sum(mask), spans, hashlib.sha256(bytes(x for x, m in zip(b, mask, strict=True) if not m)).hexdigest())] += 1
-    got = suffix_dedup.remove_repeats(docs, length, order, chunk).collect()
-    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    return want
+
+
+def repeats_found(docs, *args):
+    return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs, *args).collect())
+
+
+@pytest.mark.parametrize("length,order,chunk,bucket,hot", [(400, 13, 4 << 20, 4 << 20, 4000), (400, 13, 9000, 20_000, 4000), (60, 5, 3000, 5000, 4000), (60, 5, 3000, 5000, 1)])
+def test_remove_repeats(docs, empty, monkeypatch, length, order, chunk, bucket, hot):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    texts = [(r[0], (r[1] or "").encode()) for r in odd_rows()]
+    assert repeats_found(docs, length, order, chunk) == repeats_by_brute_force(texts, length)
     assert suffix_dedup.remove_repeats(empty, length, order, chunk).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4000, 20])
+def test_passage_in_many_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 30_000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    passage = prose(77, 120)
+    rows = [(k, prose(1000 + k, 60) + " " + passage[k % 7 :] + " " + prose(2000 + k, 40)) for k in range(120)] + [(200 + k, prose(3000 + k, 80)) for k in range(20)]
+    rows += [(300, "é" * 900), (301, "ab" * 700), (302, "ba" * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert repeats_found(df, 400, 13, 20_000) == repeats_by_brute_force([(k, t.encode()) for k, t in rows], 400)
+
+
+@pytest.mark.parametrize("length", [60, 130, 400])
+def test_tied_suffixes(length):
+    import numpy as np
+
+    rng = random.Random(length)
+    for _ in range(15):
+        base, pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(length, 3 * length))) for _ in range(4)], []
+        for _ in range(12):
+            text = bytearray(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                text[rng.randrange(len(text))] = ord("c")
+            pieces.append(bytes(rng.choice(b"xyz") for _ in range(rng.randrange(40))) + bytes(text) + b"q" * rng.randrange(2 * length))
+        counts = [len(p) - length + 1 for p in pieces]
+        seen = Counter(p[i : i + length] for p, c in zip(pieces, counts, strict=True) for i in range(c))
+        want = [seen[p[i : i + length]] > 1 for p, c in zip(pieces, counts, strict=True) for i in range(c)]
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+        assert suffix_dedup.tied_suffixes(np.frombuffer(b"".join(pieces), np.uint8), bounds, np.array(counts), length).tolist() == want
+
+
 # 3
 
 

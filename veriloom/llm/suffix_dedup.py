@@ -1,21 +1,28 @@
-"""Removal of long byte strings that occur more than once, by blockwise sorting with a difference cover.
+"""Removal of long byte strings that occur more than once, by blockwise suffix sorting with difference covers.
 
 Two suffixes tie over ``length`` bytes exactly if those strings are equal. A difference cover D of period v has, for
-any two positions, a shift d < v that takes both to residues in D. So precomputed ranks of the cover sample, the
-positions with residues in D, decide ties beyond d bytes: suffixes whose cover samples all rank alone, over
-``length - v + 1`` bytes, cannot tie with any other. Only the remaining suffixes are sorted, one bucket of the
-order at a time, each bucket of bounded size; nothing ever holds the suffixes of the corpus together.
+any two positions, a shift d < v that takes both to residues in D. That serves twice:
 
-Strings are compared by 64-bit values of two polynomial hashes, and a bucket is a range of these values: equal
-strings always meet, and two different ones are taken for equal with probability 2^-64.
+1. The samples, positions with residues of a large cover, are told apart by fingerprints of ``length - v + 1`` bytes.
+   A suffix none of whose samples is found elsewhere cannot tie with any other; only the rest stay open.
+2. Open suffixes go to buckets, one bucket is sorted at a time. A suffix's bucket hangs on its own first ``length``
+   bytes alone (by the least hash among their 16-grams), so suffixes that tie share a bucket, and successive suffixes
+   mostly share one too: they travel as one piece of text. In a bucket, a small cover's sample gets its ranks first, in
+   the order of the bytes, by prefix doubling; then suffixes are sorted by their first and last bytes, and the long
+   ties between them are decided by the sample's ranks at the shift that both have in common. Nothing is compared
+   further than its ``length`` bytes, and memory holds one bucket.
+
+Step 2 compares bytes, so what it removes is repeated for certain. A bucket's key that more than ``HOT`` pieces share
+(a passage in very many texts, each with other neighbours) is not sorted in one task: its suffixes are compared by
+64-bit fingerprints of their ``length`` bytes instead, whose ranges split it among tasks.
 
 Texts that are equal as a whole are one text with a count (grouped with partial aggregates, so a hot group of copies
-travels once a task). Each task sends a value that it holds many times once, so a passage that many texts share costs
-one value a chunk. Intermediate tables go to the shared folder.
+travels once a task). Each task sends a value or a piece that it holds many times once, so a passage that many texts
+share costs one value a chunk. Intermediate tables go to the shared folder.
 
 Defined cases: null is the empty text; texts under ``length`` bytes lose nothing; equal texts of at least ``length``
 bytes lose everything, each of them; overlapping occurrences within one text count; repeated rows are copies; an
-empty table gives no rows; other columns of the input are not read. A text is never split: a task needs about 30
+empty table gives no rows; other columns of the input are not read. A text is never split: a task needs about 50
 times the bytes of the longest one.
 """
 
@@ -32,8 +39,11 @@ from .common import drop_shuffles, join_groups, materialize, text_or_empty
 from .hashing import U, Prefix, joined, mix
 
 LENGTH = 400
-ORDER = 13
+ORDER = 13  # of the cover whose samples leave suffixes open: 14 residues of 183
 CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 4 << 20
+GRAM = 16
+HOT = 4000  # pieces with the same key of a bucket
 
 
 def difference_cover(q: int) -> tuple[int, np.ndarray]:
@@ -93,8 +103,36 @@ class Sorter:
         np.add.at(opened, hit + 1, -1)
         return np.flatnonzero((np.cumsum(opened[:-1]) > 0) & (self.room >= self.length))
 
+    def pieces(self, at: np.ndarray):
+        """Runs of successive open suffixes with the same bucket key, each distinct text once.
+
+        Gives for each piece its key, the number of suffixes, the starts of its occurrences, and its bytes.
+        """
+        if not len(at):
+            return
+        width = self.length - GRAM + 1
+        place = np.arange(len(self.data) - GRAM + 1, dtype=np.int64)
+        with np.errstate(over="ignore"):
+            grams = mix(self.one.hashes(place, place + GRAM))
+        low = (grams & U(0xFFFFFFFF00000000)) | place.astype(U)  # equal hashes: the first one of the window
+        span = 1
+        while 2 * span <= width:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        anchor = (np.minimum(low[at], low[at + width - span]) & U(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(anchor) != 0)]))
+        start, n = at[first], np.diff(np.append(first, len(at)))
+        end = start + n - 1 + self.length
+        with np.errstate(over="ignore"):
+            text = mix(mix(self.one.hashes(start, end)) * U(3) + self.two.hashes(start, end))
+        order = np.argsort(text, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(text[order]) != 0]))
+        for a, b in zip(edges.tolist(), np.append(edges[1:], len(order)).tolist(), strict=True):
+            k = order[a]
+            yield int(grams[anchor[first[k]]].view(np.int64)), int(n[k]), start[order[a:b]], self.data[start[k] : end[k]].tobytes()
+
     def ship(self, values: np.ndarray, step: int, chunk: int):
-        """A row for each bucket: the chunk's distinct values in order, and which of them it holds repeatedly."""
+        """A row for each range of values: the chunk's distinct ones in order, and which of them it holds repeatedly."""
         distinct, counts = np.unique(values, return_counts=True)
         edges = np.searchsorted(distinct, (np.arange(1, 1 << self.bits, dtype=U) << U(64 - self.bits)) if self.bits else np.zeros(0, U))
         edges = np.concatenate([[0], edges, [len(distinct)]])
@@ -103,7 +141,7 @@ class Sorter:
             yield bucket, chunk, step, distinct[part].tobytes(), np.packbits(counts[part] > 1).tobytes()
 
     def shared(self, values: np.ndarray, flags: dict[int, bytes]) -> np.ndarray:
-        """For each value whether another position has it, from the buckets' answers."""
+        """For each value whether another position has it, from the ranges' answers."""
         distinct, inverse = np.unique(values, return_inverse=True)
         edges = np.searchsorted(distinct, (np.arange(1, 1 << self.bits, dtype=U) << U(64 - self.bits)) if self.bits else np.zeros(0, U))
         edges = np.concatenate([[0], edges, [len(distinct)]])
@@ -116,6 +154,7 @@ class Sorter:
 
 SHIPPED = "bucket int, chunk long, step int, hashes binary, often binary"
 ANSWER = "bucket int, chunk long, step int, bits binary"
+PIECES = "anchor long, chunk long, n int, starts binary, text binary"
 
 
 def _rows(rows, schema: str):
@@ -125,7 +164,7 @@ def _rows(rows, schema: str):
 
 
 def sort_buckets(shipped: DataFrame) -> DataFrame:
-    """Sort each bucket and tell every chunk which of its values occur elsewhere too."""
+    """Sort each range of fingerprints and tell every chunk which of its values occur elsewhere too."""
 
     def one(key, table):
         parts = [np.frombuffer(b.as_py(), U) for b in table.column("hashes")]
@@ -149,6 +188,129 @@ def sort_buckets(shipped: DataFrame) -> DataFrame:
     return shipped.groupBy("bucket").applyInArrow(one, ANSWER)
 
 
+def dense(x: np.ndarray) -> np.ndarray:
+    """Ranks from 0 in the order of the values, equal ones alike."""
+    order = np.argsort(x)
+    ordered, step = x[order], np.zeros(len(x), U)
+    step[1:] = ordered[1:] != ordered[:-1]
+    out = np.empty(len(x), U)
+    out[order] = np.cumsum(step, dtype=U)
+    return out
+
+
+def tied_suffixes(data: np.ndarray, bounds: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """Which of the first ``counts[k]`` suffixes of each piece tie with another over ``length`` bytes; one flag each.
+
+    Piece k is data[bounds[k]:bounds[k + 1]], with ``length`` bytes behind the start of each of those suffixes.
+    """
+    period, cover = difference_cover(5 if length >= 124 else 3)
+    in_cover, sizes, m = np.zeros(period, bool), np.diff(bounds), len(data)
+    in_cover[cover] = True
+    place = np.arange(m) - np.repeat(bounds[:-1], sizes)
+    room, residue, scale = np.repeat(bounds[1:], sizes) - np.arange(m), place % period, U(m + 1)
+
+    def after(x: np.ndarray, k: int) -> np.ndarray:
+        return np.concatenate([x[k:], np.zeros(min(k, m), U)])
+
+    # the order of the first ``period`` bytes at every position
+    padded, head = np.concatenate([data, np.zeros(8, np.uint8)]), np.zeros(m, U)
+    for k in range(8):
+        head = head << U(8) | padded[k : k + m].astype(U)
+    head, known = dense(head), 8
+    while known < period:
+        step = min(known, period - known)
+        head, known = dense(head * scale + after(head, step)), known + step
+    # the order of ``whole`` bytes at the sample, by doubling over its period
+    times = (length - period + 1) // period
+    whole, sampled = period * times, in_cover[residue]
+    levels = [head]
+    while 2 << (len(levels) - 1) <= times:
+        step = period << (len(levels) - 1)
+        p = np.flatnonzero(sampled & (room >= 2 * step))
+        level = np.zeros(m, U)
+        level[p] = dense(levels[-1][p] * scale + levels[-1][p + step])
+        levels.append(level)
+    p = np.flatnonzero(sampled & (room >= whole))
+    rank, done = None, 0
+    for t in reversed(range(len(levels))):
+        if times >> t & 1:
+            rank = levels[t][p] if rank is None else dense(rank * scale + levels[t][p + done])
+            done += period << t
+    ranks = np.zeros(m, U)
+    ranks[p] = rank
+    # suffixes by their first and last bytes, then by the ranks at each shift
+    at = np.flatnonzero(place < np.repeat(counts, sizes))
+    ends, tied = head[at], np.zeros(len(at), bool)
+    for t in range(length - period, whole - period, -period):
+        ends = dense(ends * scale + head[at + t])
+    live = np.flatnonzero(np.bincount(ends.astype(np.int64))[ends.astype(np.int64)] > 1) if len(at) else np.zeros(0, np.int64)
+    at, ends, found = at[live], dense(ends[live]).astype(np.int64), np.zeros(len(live), bool)
+    for d in range(period):
+        undecided = np.bincount(ends, weights=~found) > 0 if len(at) else found
+        some = np.flatnonzero(in_cover[(residue[at] + d) % period] & undecided[ends])
+        key = ends[some].astype(U) * scale + ranks[at[some] + d]
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        found[some[order[1:]]] |= same
+        found[some[order[:-1]]] |= same
+    tied[live] = found
+    return tied
+
+
+TIED = "chunk long, starts binary, bits binary"
+
+
+def sort_pieces(pieces: DataFrame, length: int) -> DataFrame:
+    """Sort the suffixes of each bucket; chunk, starts of the occurrences and flags of pieces with tied suffixes."""
+
+    def one(key, table):
+        texts = table.column("text").to_pylist()
+        counts, starts = table.column("n").to_numpy().astype(np.int64), table.column("starts").to_pylist()
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        tied = tied_suffixes(np.frombuffer(b"".join(texts), np.uint8), bounds, counts, length)
+        edges, rows = np.concatenate([[0], np.cumsum(counts)]).tolist(), []
+        for k, (chunk, where) in enumerate(zip(table.column("chunk").to_pylist(), starts, strict=True)):
+            flags = tied[edges[k] : edges[k + 1]] if len(where) == 8 else np.ones(counts[k], bool)
+            if flags.any():
+                rows.append((chunk, where, np.packbits(flags).tobytes()))
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "starts", "bits"])
+
+    return pieces.groupBy("bucket").applyInArrow(one, TIED)
+
+
+def compare_prints(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for pieces whose key is hot: suffixes meet by fingerprints, in ranges that split any key among tasks."""
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    sorter = Sorter(length, ORDER if length > 199 else 5, max(0, int(np.ceil(np.log2(max(1, total * 8 / (32 << 20)))))))
+
+    def prints(table):
+        texts, counts = table.column("text").to_pylist(), table.column("n").to_numpy().astype(np.int64)
+        data, bounds = joined(texts)
+        at = np.concatenate([np.arange(a, a + n) for a, n in zip(bounds[:-1].tolist(), counts.tolist(), strict=True)])
+        sorter.one, sorter.two = Prefix(data), Prefix(data, 2, 0x9FB21C651E98DF25)
+        often = np.repeat([len(s) > 8 for s in table.column("starts").to_pylist()], counts)
+        return sorter.values(at, length), often, counts
+
+    def ship(key, table):
+        values, often, _ = prints(table)
+        values = np.concatenate([values, values[often]])
+        return pa.Table.from_batches([_rows(list(sorter.ship(values, 1, key[0].as_py())), SHIPPED)])
+
+    def resolve(key, table, answers):
+        if not table.num_rows:
+            return pa.schema([("chunk", pa.int64()), ("starts", pa.binary()), ("bits", pa.binary())]).empty_table()
+        values, _, counts = prints(table)
+        flags = sorter.shared(values, dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)))
+        edges, rows = np.concatenate([[0], np.cumsum(counts)]).tolist(), []
+        for k, (chunk, where) in enumerate(zip(table.column("chunk").to_pylist(), table.column("starts").to_pylist(), strict=True)):
+            if (mine := flags[edges[k] : edges[k + 1]]).any():
+                rows.append((chunk, where, np.packbits(mine).tobytes()))
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "starts", "bits"])
+
+    answers = materialize(sort_buckets(pieces.groupBy("chunk").applyInArrow(ship, SHIPPED)), "hot-ties")
+    return pieces.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(resolve, TIED)
+
+
 def distinct_texts(docs: DataFrame, length: int) -> DataFrame:
     """digest, bytes, copies of every distinct text that is long enough."""
     rows = docs.select(F.encode(text_or_empty(), "utf-8").alias("bytes")).where(F.octet_length("bytes") >= length)
@@ -201,52 +363,68 @@ def repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, chunk_byt
 
     def left_open(row):
         sorter.open(row["blob"], row["lengths"])
+        flags = {f["bucket"]: f["bits"] for f in row["flags"] or []}
         samples = sorter.samples()
-        flags = {0: {}, 1: {}}
-        for f in row["flags"] or []:
-            flags[f["step"]][f["bucket"]] = f["bits"]
-        if not flags[0]:
-            return samples[:0], flags
-        return sorter.unresolved(samples, sorter.shared(sorter.values(samples, sorter.rest), flags[0])), flags
-
-    def sort_suffixes(batches):
+        return sorter.unresolved(samples, sorter.shared(sorter.values(samples, sorter.rest), flags)) if flags else samples[:0]
+
+    def cut_pieces(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                at, _ = left_open(row)
-                if rows := list(sorter.ship(sorter.values(at, length), 1, row["chunk"])):
-                    yield _rows(rows, SHIPPED)
+                rows, held = [], 0
+                for anchor, n, starts, text in sorter.pieces(left_open(row)):
+                    rows.append((anchor, row["chunk"], n, starts.tobytes(), text))
+                    held += len(text)
+                    if held > 4 << 20:
+                        yield _rows(rows, PIECES)
+                        rows, held = [], 0
+                if rows:
+                    yield _rows(rows, PIECES)
 
     def cut(batches):
+        import zstandard
+
         for batch in batches:
             for row in batch.to_pylist():
-                at, flags = left_open(row)
-                tied = at[sorter.shared(sorter.values(at, length), flags[1])] if len(at) and flags[1] else at[:0]
-                edge = np.zeros(len(sorter.data) + 1, np.int32)
-                edge[tied] += 1
-                np.add.at(edge, tied + length, -1)
-                gone = np.cumsum(edge[:-1]) > 0
                 copies, out = np.frombuffer(row["copies"], np.int64), []
-                for k, (a, b) in enumerate(zip(sorter.bounds[:-1].tolist(), sorter.bounds[1:].tolist(), strict=True)):
+                bounds = np.concatenate([[0], np.cumsum(np.frombuffer(row["lengths"], np.int64))])
+                data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["blob"], max_output_size=int(bounds[-1])), np.uint8)
+                edge = np.zeros(len(data) + 1, np.int32)
+                for f in row["flags"] or []:
+                    tied = np.flatnonzero(np.unpackbits(np.frombuffer(f["bits"], np.uint8)))
+                    at = (np.frombuffer(f["starts"], np.int64)[:, None] + tied[None, :]).ravel()
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + length, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     mask = gone[a:b] if copies[k] < 2 else np.ones(b - a, bool)
                     if not mask.any():
                         continue
                     turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                    kept = hashlib.sha256(sorter.data[a:b][~mask].tobytes()).hexdigest()
+                    kept = hashlib.sha256(data[a:b][~mask].tobytes()).hexdigest()
                     out.append((row["digests"][32 * k : 32 * k + 32], int(copies[k]), int(mask.sum()), len(turns) // 2, kept, turns[::2].tolist(), turns[1::2].tolist()))
                 if out:
                     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["digest", "copies", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
 
-    def flagged(answers: DataFrame) -> DataFrame:
-        by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("step", "bucket", "bits")).alias("flags"))
+    def flagged(answers: DataFrame, *columns: str) -> DataFrame:
+        by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias("flags"))
         return chunks.select("chunk", "blob", "lengths", "digests", "copies").join(by_chunk, "chunk", "left")
 
     ranks = materialize(sort_buckets(chunks.select("chunk", "blob", "lengths").mapInArrow(rank_samples, SHIPPED)), "sample-ranks")
     drop_shuffles(spark)
-    ties = materialize(sort_buckets(flagged(ranks).select("chunk", "blob", "lengths", "flags").mapInArrow(sort_suffixes, SHIPPED)), "suffix-ties")
+    pieces = materialize(flagged(ranks, "bucket", "bits").select("chunk", "blob", "lengths", "flags").mapInArrow(cut_pieces, PIECES), "pieces")
+    drop_shuffles(spark)
+    held = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    hot = materialize(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot-keys")
+    dealt = pieces.withColumn("bucket", F.pmod("anchor", F.lit(max(1, -(-held // BUCKET_BYTES)))))
+    if hot.isEmpty():
+        ties = sort_pieces(dealt, length)
+    else:
+        ties = sort_pieces(dealt.join(hot, "anchor", "left_anti"), length).unionByName(compare_prints(pieces.join(hot, "anchor", "left_semi"), length))
+    ties = materialize(ties, "suffix-ties")
     drop_shuffles(spark)
     result = "digest binary, copies long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-    found = materialize(flagged(ranks.unionByName(ties)).mapInArrow(cut, result), "repeats")
+    found = materialize(flagged(ties, "starts", "bits").mapInArrow(cut, result), "repeats")
     drop_shuffles(spark)
     return found
 
