@@ -221,6 +221,26 @@ def test_passage_in_many_texts(spark, monkeypatch, hot):
     assert repeats_found(df, 400, 13, 20_000) == repeats_by_brute_force([(k, t.encode()) for k, t in rows], 400)
 
 
+def test_runs_of_words_in_other_texts(docs, spark):
+    def split(text):
+        return "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in text or "").split(" ")
+
+    passage = prose(78, 51).rstrip(".")
+    rows = [(r[0], r[1]) for r in odd_rows()] + [(500, prose(1, 30) + "\n" + passage + "! " + prose(2, 20)), (501, "(" + passage.upper() + ")"), (502, passage[: len(passage) // 2]), (503, (prose(9, 60) + " ") * 2), (504, prose(8, 55)), (504, prose(8, 55))]
+    words = [[w for w in split(t) if w] for _, t in rows]
+    holders = {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - 49):
+            holders.setdefault(tuple(w[i : i + 50]), set()).add(k)
+    want = Counter()
+    for (d, _), w in zip(rows, words, strict=True):
+        held = {i + j for i in range(len(w) - 49) if len(holders[tuple(w[i : i + 50])]) > 1 for j in range(50)}
+        want[(d, bool(held), len(held))] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["repeats_passage"], r["passage_words"]) for r in suffix_dedup.remove_repeats(df, 400, 13, 9000).collect())
+    assert got == want and (500, True, 51) in want and not any(d in (502, 503) and hit for d, hit, _ in want)
+
+
 @pytest.mark.parametrize("length", [60, 130, 400])
 def test_tied_suffixes(length):
     import numpy as np

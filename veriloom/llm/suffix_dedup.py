@@ -20,6 +20,10 @@ Texts that are equal as a whole are one text with a count (grouped with partial
 travels once a task). Each task sends a value or a piece that it holds many times once, so a passage that many texts
 share costs one value a chunk. Intermediate tables go to the shared folder.
 
+Beside the bytes that go, texts are told that hold a run of ``words`` words which another text has as well, whatever
+its length in bytes: a cover over the places of words leaves runs open, whose fingerprints are then compared. Words
+are runs of letters, digits and non-ASCII characters, letters A to Z in lower case; nothing is removed for them.
+
 Defined cases: null is the empty text; texts under ``length`` bytes lose nothing; equal texts of at least ``length``
 bytes lose everything, each of them; overlapping occurrences within one text count; repeated rows are copies; an
 empty table gives no rows; other columns of the input are not read. A text is never split: a task needs about 50
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_shuffles, join_groups, materialize, text_or_empty
-from .hashing import U, Prefix, joined, mix
+from .hashing import SIGNS, U, Prefix, joined, mix, words
 
 LENGTH = 400
 ORDER = 13  # of the cover whose samples leave suffixes open: 14 residues of 183
@@ -44,6 +48,8 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 GRAM = 16
 HOT = 4000  # pieces with the same key of a bucket
+WORDS, WORD_ORDER = 50, 5
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def difference_cover(q: int) -> tuple[int, np.ndarray]:
@@ -91,14 +97,13 @@ class Sorter:
 
     def samples(self) -> np.ndarray:
         """The cover sample: positions with enough text behind them to take part in a tie."""
-        at = np.arange(len(self.data))
-        at = at[self.room >= self.rest]
+        at = np.flatnonzero(self.room >= self.rest)
         return at[self.in_cover[(at - self.start[at]) % self.period]]
 
     def unresolved(self, samples: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """The suffixes that the ranks leave open: a sample whose rank is shared lies less than a period behind."""
         hit = samples[shared]
-        opened = np.zeros(len(self.data) + 1, np.int32)
+        opened = np.zeros(len(self.room) + 1, np.int32)
         np.add.at(opened, np.maximum(hit - self.period + 1, self.start[hit]), 1)
         np.add.at(opened, hit + 1, -1)
         return np.flatnonzero((np.cumsum(opened[:-1]) > 0) & (self.room >= self.length))
@@ -131,8 +136,15 @@ class Sorter:
             k = order[a]
             yield int(grams[anchor[first[k]]].view(np.int64)), int(n[k]), start[order[a:b]], self.data[start[k] : end[k]].tobytes()
 
-    def ship(self, values: np.ndarray, step: int, chunk: int):
-        """A row for each range of values: the chunk's distinct ones in order, and which of them it holds repeatedly."""
+    def ship(self, values: np.ndarray, step: int, chunk: int, owners: np.ndarray | None = None):
+        """A row for each range of values: the chunk's distinct ones in order, and which of them it holds repeatedly.
+
+        With ``owners``, a value is held repeatedly only where two of them have it.
+        """
+        if owners is not None and len(values):
+            order = np.lexsort((owners, values))
+            values, owners = values[order], owners[order]
+            values = values[np.concatenate([[True], (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])])]
         distinct, counts = np.unique(values, return_counts=True)
         edges = np.searchsorted(distinct, (np.arange(1, 1 << self.bits, dtype=U) << U(64 - self.bits)) if self.bits else np.zeros(0, U))
         edges = np.concatenate([[0], edges, [len(distinct)]])
@@ -152,6 +164,32 @@ class Sorter:
         return out[inverse]
 
 
+class WordSorter(Sorter):
+    """The same over the words of a chunk's texts: places and lengths count words."""
+
+    def open(self, blob: bytes, lengths: bytes) -> None:
+        import zstandard
+
+        sizes = np.frombuffer(lengths, np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        data = LOWER[np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=int(bounds[-1])), np.uint8)]
+        starts, ends, firsts = words(data, bounds, SIGNS)
+        solid = ~SIGNS[data]
+        kept = solid.copy()
+        kept[1:] |= solid[:-1]  # one sign after each word
+        place = np.concatenate([[0], np.cumsum(kept)])
+        data = np.where(solid, data, 32).astype(np.uint8)[kept]
+        self.at, self.to, self.firsts = place[starts], place[ends - 1] + 1, firsts
+        counts = np.diff(firsts)
+        self.owner = np.repeat(np.arange(len(sizes)), counts)
+        self.start = np.repeat(firsts[:-1], counts)
+        self.room = np.repeat(firsts[1:], counts) - np.arange(len(starts))
+        self.one = Prefix(data)
+
+    def values(self, at: np.ndarray, length: int) -> np.ndarray:
+        return mix(self.one.hashes(self.at[at], self.to[at + length - 1]))
+
+
 SHIPPED = "bucket int, chunk long, step int, hashes binary, often binary"
 ANSWER = "bucket int, chunk long, step int, bits binary"
 PIECES = "anchor long, chunk long, n int, starts binary, text binary"
@@ -344,15 +382,78 @@ def pack_chunks(texts: DataFrame, chunk_bytes: int) -> DataFrame:
     return texts.mapInArrow(work, "chunk long, blob binary, lengths binary, digests binary, copies binary, size long")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row for each distinct text that loses bytes: digest, copies, n_removed, n_spans, kept_sha256, starts, ends."""
+def range_bits(total: float, order: int) -> int:
+    """Bits of a fingerprint that name its range, for a cover's samples of so many places."""
+    shipped = total * (order + 1) / (order * order + order + 1) * 8
+    return max(0, int(np.ceil(np.log2(max(1.0, shipped / min(max(2 << 20, shipped / 2000), 64 << 20))))))
+
+
+def with_answers(chunks: DataFrame, answers: DataFrame, *columns: str) -> DataFrame:
+    """Each chunk with what the buckets answered it."""
+    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias("flags"))
+    return chunks.join(by_chunk, "chunk", "left")
+
+
+def shared_words(chunks: DataFrame, total: int, count: int, order: int = WORD_ORDER) -> DataFrame:
+    """chunk, words: for each of a chunk's texts, its words that lie in runs of ``count`` words of another text too."""
+    spark = chunks.sparkSession
+    sorter = WordSorter(count, order, range_bits(total / 6, order))
+
+    def rank_samples(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                sorter.open(row["blob"], row["lengths"])
+                at = sorter.samples()
+                if rows := list(sorter.ship(sorter.values(at, sorter.rest), 0, row["chunk"], sorter.owner[at])):
+                    yield _rows(rows, SHIPPED)
+
+    def left_open(row):
+        sorter.open(row["blob"], row["lengths"])
+        flags = {0: {}, 1: {}}
+        for f in row["flags"] or []:
+            flags[f["step"]][f["bucket"]] = f["bits"]
+        samples = sorter.samples()
+        return (sorter.unresolved(samples, sorter.shared(sorter.values(samples, sorter.rest), flags[0])) if flags[0] else samples[:0]), flags[1]
+
+    def ship_runs(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                at, _ = left_open(row)
+                if rows := list(sorter.ship(sorter.values(at, count), 1, row["chunk"], sorter.owner[at])):
+                    yield _rows(rows, SHIPPED)
+
+    def tell(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                at, flags = left_open(row)
+                if len(at) and flags:
+                    tied, edge = at[sorter.shared(sorter.values(at, count), flags)], np.zeros(len(sorter.room) + 1, np.int32)
+                    np.add.at(edge, tied, 1)
+                    np.add.at(edge, tied + count, -1)
+                    held = np.bincount(sorter.owner, weights=np.cumsum(edge[:-1]) > 0, minlength=len(sorter.firsts) - 1).astype(np.int64)
+                    if held.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["chunk", "words"])
+
+    blobs = chunks.select("chunk", "blob", "lengths")
+    ranks = materialize(sort_buckets(blobs.mapInArrow(rank_samples, SHIPPED)), "word-samples")
+    drop_shuffles(spark)
+    runs = materialize(sort_buckets(with_answers(blobs, ranks, "step", "bucket", "bits").select("chunk", "blob", "lengths", "flags").mapInArrow(ship_runs, SHIPPED)), "word-runs")
+    drop_shuffles(spark)
+    told = with_answers(blobs, ranks.unionByName(runs), "step", "bucket", "bits").select("chunk", "blob", "lengths", "flags")
+    told = materialize(told.mapInArrow(tell, "chunk long, words binary"), "words")
+    drop_shuffles(spark)
+    return told
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, count: int = WORDS) -> DataFrame:
+    """One row for each distinct text that loses bytes or shares a run of words: digest, copies, n_removed, n_spans,
+    kept_sha256, starts, ends, passage_words."""
     spark = docs.sparkSession
-    chunks = materialize(pack_chunks(distinct_texts(docs, length), chunk_bytes), "chunks")
+    chunks = materialize(pack_chunks(distinct_texts(docs, min(length, 2 * count - 1) if count else length), chunk_bytes), "chunks")
     drop_shuffles(spark)
     total = chunks.agg(F.sum("size")).first()[0] or 0
-    shipped_bytes = total * (order + 1) / (order * order + order + 1) * 8
-    bucket_bytes = min(max(2 << 20, shipped_bytes / 2000), 64 << 20)
-    sorter = Sorter(length, order, max(0, int(np.ceil(np.log2(max(1.0, shipped_bytes / bucket_bytes))))))
+    told = shared_words(chunks, total, count) if count else chunks.select("chunk", F.lit(None).cast("binary").alias("words")).where("false")
+    sorter = Sorter(length, order, range_bits(total, order))
 
     def rank_samples(batches):
         for batch in batches:
@@ -395,24 +496,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, chunk_byt
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
+                held = np.frombuffer(row["words"], np.int64) if row["words"] else np.zeros(len(copies), np.int64)
                 for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                    mask = gone[a:b] if copies[k] < 2 else np.ones(b - a, bool)
-                    if not mask.any():
+                    mask, run = gone[a:b], int(held[k])
+                    if copies[k] > 1:
+                        mask = np.ones(b - a, bool) if b - a >= length else mask
+                        run = max(run, n if count and (n := len(words(data[a:b], np.array([0, b - a]), SIGNS)[0])) >= count else 0)
+                    if not run and not mask.any():
                         continue
                     turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
                     kept = hashlib.sha256(data[a:b][~mask].tobytes()).hexdigest()
-                    out.append((row["digests"][32 * k : 32 * k + 32], int(copies[k]), int(mask.sum()), len(turns) // 2, kept, turns[::2].tolist(), turns[1::2].tolist()))
+                    out.append((row["digests"][32 * k : 32 * k + 32], int(copies[k]), int(mask.sum()), len(turns) // 2, kept, turns[::2].tolist(), turns[1::2].tolist(), run))
                 if out:
-                    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["digest", "copies", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
-
-    def flagged(answers: DataFrame, *columns: str) -> DataFrame:
-        by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias("flags"))
-        return chunks.select("chunk", "blob", "lengths", "digests", "copies").join(by_chunk, "chunk", "left")
+                    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["digest", "copies", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "passage_words"])
 
     ranks = materialize(sort_buckets(chunks.select("chunk", "blob", "lengths").mapInArrow(rank_samples, SHIPPED)), "sample-ranks")
     drop_shuffles(spark)
-    pieces = materialize(flagged(ranks, "bucket", "bits").select("chunk", "blob", "lengths", "flags").mapInArrow(cut_pieces, PIECES), "pieces")
+    pieces = materialize(with_answers(chunks, ranks, "bucket", "bits").select("chunk", "blob", "lengths", "flags").mapInArrow(cut_pieces, PIECES), "pieces")
     drop_shuffles(spark)
     held = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     hot = materialize(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot-keys")
@@ -423,20 +524,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, chunk_byt
         ties = sort_pieces(dealt.join(hot, "anchor", "left_anti"), length).unionByName(compare_prints(pieces.join(hot, "anchor", "left_semi"), length))
     ties = materialize(ties, "suffix-ties")
     drop_shuffles(spark)
-    result = "digest binary, copies long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-    found = materialize(flagged(ties, "starts", "bits").mapInArrow(cut, result), "repeats")
+    result = "digest binary, copies long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, passage_words long"
+    ready = with_answers(chunks, ties, "starts", "bits").join(told, "chunk", "left")
+    found = materialize(ready.select("blob", "lengths", "digests", "copies", "flags", "words").mapInArrow(cut, result), "repeats")
     drop_shuffles(spark)
     return found
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans in bytes."""
-    found = repeats(docs, length, order, chunk_bytes)
+def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, count: int = WORDS) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, whether it has a run of ``count`` words of
+    another document, its words in such runs, and the removed spans in bytes. A ``count`` of 0 seeks no such runs."""
+    found = repeats(docs, length, order, chunk_bytes, count)
     text = F.encode(text_or_empty(), "utf-8")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
     both = join_groups(rows, found, "digest", "copies", max(1, docs.count()))
     zero = F.lit(0).cast("long")
     return both.select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-        F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"), "starts", "ends",
+        F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"),
+        (F.coalesce("passage_words", zero) > 0).alias("repeats_passage"), F.coalesce("passage_words", zero).alias("passage_words"), "starts", "ends",
     )
