@@ -234,7 +234,7 @@ def sentences(c: Column) -> Column:
 
 
 def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 # Corruption, figures, titles
