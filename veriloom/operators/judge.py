@@ -111,12 +111,13 @@ def lexical_judge(claim: Column, passage: Column) -> Column:
 def enrich(prompts: DataFrame, responses: DataFrame, provider: Callable[[Iterator[str]], Iterator[str | None]] | None = None) -> DataFrame:
     """prompt_sha, model, vote_no, raw: stored answers, and a provider's for the prompts that have none.
 
-    Answers are keyed by (model, prompt_sha, vote_no); failed calls are null and must not be stored.
+    Answers are keyed by (model, prompt_sha, vote_no); failed calls, and without a provider prompts that nothing
+    answers, are null and must not be stored.
     """
     key = ["model", "prompt_sha", "vote_no"]
-    known = prompts.join(responses, key).select(*key, "raw")
     if provider is None:
-        return known
+        return prompts.select(*key).join(responses, key, "left").select(*key, "raw")
+    known = prompts.join(responses, key).select(*key, "raw")
 
     def call(batches):
         for batch in batches:

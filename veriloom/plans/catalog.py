@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly_queries, chain_queries, document_queries, evidence_queries, judging_queries, retrieval_queries, sequence_queries, text_queries  # noqa: F401
+from . import assembly_queries, chain_queries, document_queries, evidence_queries, extension_queries, judging_queries, retrieval_queries, sequence_queries, text_queries  # noqa: F401
 from .registry import QUERIES
 
 
