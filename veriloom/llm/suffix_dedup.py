@@ -7,10 +7,11 @@ any two positions, a shift d < v that takes both to residues in D. That serves t
    A suffix none of whose samples is found elsewhere cannot tie with any other; only the rest stay open.
 2. Open suffixes go to buckets, one bucket is sorted at a time. A suffix's bucket hangs on its own first ``length``
    bytes alone (by the least hash among their 16-grams), so suffixes that tie share a bucket, and successive suffixes
-   mostly share one too: they travel as one piece of text. In a bucket, a small cover's sample gets its ranks first, in
-   the order of the bytes, by prefix doubling; then suffixes are sorted by their first and last bytes, and the long
-   ties between them are decided by the sample's ranks at the shift that both have in common. Nothing is compared
-   further than its ``length`` bytes, and memory holds one bucket.
+   mostly share one too: they travel as one piece of text. In a bucket, suffixes with a fingerprint of their own are
+   left out; of the rest, a small cover's sample gets its ranks first, in the order of the bytes, by prefix doubling.
+   Then suffixes are sorted by their first and last bytes, and the long ties between them are decided by the sample's
+   ranks at the shift that both have in common. Nothing is compared further than its ``length`` bytes, and memory
+   holds one bucket.
 
 Step 2 compares bytes, so what it removes is repeated for certain. A bucket's key that more than ``HOT`` pieces share
 (a passage in very many texts, each with other neighbours) is not sorted in one task: its suffixes are compared by
@@ -45,9 +46,9 @@ from .hashing import SIGNS, U, Prefix, joined, mix, words
 LENGTH = 400
 ORDER = 13  # of the cover whose samples leave suffixes open: 14 residues of 183
 CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
 GRAM = 16
-HOT = 4000  # pieces with the same key of a bucket
+HOT = 1000  # pieces with the same key of a bucket
 WORDS, WORD_ORDER = 50, 5
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -295,6 +296,31 @@ def tied_suffixes(data: np.ndarray, bounds: np.ndarray, counts: np.ndarray, leng
     return tied
 
 
+def tied_in_bucket(texts: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
+    """The flags of all pieces' suffixes. What has a fingerprint of its own cannot tie and is not sorted."""
+    data, bounds = joined(texts)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(edges[-1]) + np.repeat(bounds[:-1] - edges[:-1], counts)
+    values = mix(Prefix(data).hashes(at, at + length))
+    order = np.argsort(values)
+    same, shared = np.diff(values[order]) == 0, np.zeros(len(at), bool)
+    shared[order[1:]] |= same
+    shared[order[:-1]] |= same
+    out, live = np.zeros(len(at), bool), np.flatnonzero(shared)
+    if not len(live):
+        return out
+    owner = np.searchsorted(edges, live, side="right") - 1
+    first = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
+    last = np.append(first[1:], len(live)) - 1
+    lo, hi, piece = live[first], live[last] + 1, owner[first]
+    start, n = bounds[piece] + lo - edges[piece], hi - lo
+    cuts = [data[a:b] for a, b in zip(start.tolist(), (start + n - 1 + length).tolist(), strict=True)]
+    ends = np.concatenate([[0], np.cumsum(n - 1 + length)])
+    tied, done = tied_suffixes(np.concatenate(cuts), ends, n, length), np.concatenate([[0], np.cumsum(n)])
+    out[np.arange(done[-1]) + np.repeat(lo - done[:-1], n)] = tied
+    return out
+
+
 TIED = "chunk long, starts binary, bits binary"
 
 
@@ -304,8 +330,7 @@ def sort_pieces(pieces: DataFrame, length: int) -> DataFrame:
     def one(key, table):
         texts = table.column("text").to_pylist()
         counts, starts = table.column("n").to_numpy().astype(np.int64), table.column("starts").to_pylist()
-        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        tied = tied_suffixes(np.frombuffer(b"".join(texts), np.uint8), bounds, counts, length)
+        tied = tied_in_bucket(texts, counts, length)
         edges, rows = np.concatenate([[0], np.cumsum(counts)]).tolist(), []
         for k, (chunk, where) in enumerate(zip(table.column("chunk").to_pylist(), starts, strict=True)):
             flags = tied[edges[k] : edges[k + 1]] if len(where) == 8 else np.ones(counts[k], bool)
