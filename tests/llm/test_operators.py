@@ -279,6 +279,65 @@ def test_language(spark, docs, empty, sf_dir):
     assert langid.identify(empty, model).count() == 0
 
 
+def mixture_by_brute_force(model, text):
+    """Shares and chosen languages by plain loops over the words: EM, then languages as long as they pay."""
+    import math
+
+    words = ["".join(c if not c.isascii() or c.isalpha() else " " for c in text.lower())]
+    words = [w.encode() for w in words[0].split()]
+    ratios = []
+    for w in words:
+        padded, total = b" " + w + b" ", [0.0] * len(model.languages)
+        for i in range(len(w)):
+            a, b, c = padded[i : i + 3]
+            code = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF
+            code = ((code ^ code >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 16
+            total = [t + float(x) for t, x in zip(total, model.logs[code], strict=True)]
+        ratios.append([math.exp(max(t - max(total), langid.FLOOR)) for t in total])
+
+    def climb(allowed):
+        share = [1 / len(allowed) if k in allowed else 0.0 for k in range(len(model.languages))]
+        for _ in range(langid.ROUNDS):
+            sums = [0.0] * len(share)
+            for r in ratios:
+                whole = sum(x * s for x, s in zip(r, share, strict=True))
+                sums = [u + x * s / whole for u, x, s in zip(sums, r, share, strict=True)]
+            share = [u / len(ratios) for u in sums]
+        return share, sum(math.log(sum(x * s for x, s in zip(r, share, strict=True))) for r in ratios)
+
+    full, _ = climb(range(len(model.languages)))
+    order = sorted(range(len(full)), key=lambda k: (-full[k], k))
+    best, reached = climb(order[:1])
+    chosen = 1
+    for k in range(2, len(order) + 1):
+        share, likely = climb(order[:k])
+        if likely - reached <= langid.PENALTY + 0.5 * math.log(len(ratios)):
+            break
+        best, reached, chosen = share, likely, k
+    ranked = sorted(range(len(best)), key=lambda k: (-best[k], k))[:chosen]
+    return [model.languages[k] for k in ranked], [best[k] for k in ranked]
+
+
+def test_mixtures_against_brute_force(spark, sf_dir):
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.learn(known)
+    by_lang = {r["lang"]: r["text"] for r in known.where("length(text) > 200").selectExpr("lang", "substr(text, 1, 900) AS text").collect()}
+    texts = list(by_lang.values()) + [by_lang["de"][:200] + " " + by_lang["fr"][:150], by_lang["es"][:60] + " " + by_lang["en"], "one", "é", "x1y 22 zz"]
+    for text, (first, score, chosen, shares) in zip(texts, model.predict(texts), strict=True):
+        want, parts = mixture_by_brute_force(model, text)
+        assert chosen == want and first == want[0] and all(abs(a - b) < 2e-3 for a, b in zip(shares, parts, strict=True)) and abs(score - parts[0]) < 2e-3
+
+
+def test_language_ties_and_repeats(spark):
+    import numpy as np
+
+    rows = [(k, t, "b") for k, t in enumerate(["same words here", "same words here", "same words here"])] + [(9, "same words here", "a")]
+    model = langid.learn(spark.createDataFrame(rows * 3, "doc_id long, text string, lang string"))
+    model = langid.Model(["a", "b"], np.repeat(model.logs[:, :1], 2, axis=1))
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert len(got) == 4 and {r["lang_pred"] for r in got} == {"a"} and len({r["score"] for r in got}) == 1
+
+
 # 4
 
 
@@ -602,6 +661,18 @@ def test_pack(docs, empty):
     for r in odd_rows():
         want[r[0]] += len(encode(r[1] or "")) // 4 + 1
     assert pieces == want
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    plain, ids = Tokenizer.from_file(tokenizer_path()), {}
+    for r in odd_rows():
+        ids.setdefault(r[0], set()).add(tuple([*plain.encode(r[1] or "", add_special_tokens=False).ids, 1]))
+    assert {r["doc_tokens"] for r in rows} == {len(x) for some in ids.values() for x in some}
+    for r in rows:
+        cuts = [x[r["start"] : r["start"] + r["length"]] for x in ids[r["doc_id"]] if len(x) == r["doc_tokens"]]
+        assert r["ids_crc32"] in {zlib.crc32(np.array(c, "<u4").tobytes()) for c in cuts}
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
