@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 from . import graph, retrieve, sequential
@@ -81,7 +82,7 @@ def propose_replacements(marks: DataFrame, candidates: DataFrame, downloads: Dat
     return rows.join(first, "claim", "left").select("claim", "paper", "key", "registered", F.coalesce(F.col("n") == F.col("first"), F.lit(False)).alias("suggested"))
 
 
-@F.pandas_udf("struct<lo:int,hi:int>")
+@F.pandas_udf(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
 def section_bounds(words: pd.Series, best: pd.Series) -> pd.DataFrame:
     """The chunks around the best one, taken in turns from either side until the section has its words."""
 

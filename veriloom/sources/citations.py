@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.evidence import fold
 
@@ -41,7 +42,10 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     return found
 
 
-@F.pandas_udf("array<struct<start:int,end:int,surname:string,year:string>>")
+MENTION = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surname", T.StringType()), T.StructField("year", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(MENTION))
 def author_year(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: [dict(zip(("start", "end", "surname", "year"), m, strict=True)) for m in mentions(s)])
 
@@ -76,7 +80,7 @@ def reinsert(text: str, cited: list[tuple[int, int, list[str]]]) -> str:
     return re.sub(r"[ \t]{2,}", " ", re.sub(r"[ \t]+([.,;:!?])", r"\1", "".join(out)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def with_markers(texts: pd.Series, cited: pd.Series) -> pd.Series:
     """``cited`` has arrays of (start, end, keys)."""
     return pd.Series([None if s is None else reinsert(s, [(c["start"], c["end"], list(c["keys"])) for c in (spans if spans is not None else [])]) for s, spans in zip(texts, cited, strict=True)], dtype=object)
