@@ -254,16 +254,20 @@ def inject_error(c: Column) -> Column:
     return out
 
 
+def held_in(parts: Column, whole: Column) -> Column:
+    """For each part whether the text holds it; the text is computed once a row, not once a part."""
+    return F.zip_with(parts, F.array_repeat(whole, F.size(parts)), lambda p, w: F.contains(w, p))
+
+
 def title_check(title: Column, text: Column, author: Column | None = None) -> Column:
     """ok, mismatch or unknown: are three fifths of the title's long words, or else one of the author's, in the opening of the text?"""
     significant = F.filter(words(F.regexp_replace(F.lower(title), "[^a-z0-9 ]", " ")), lambda w: F.length(w) > 3)
-    opening = F.regexp_replace(F.lower(F.substring(text, 1, 12000)), "[^a-z0-9 ]", " ")
-    tokens, compact = words(opening), F.regexp_replace(opening, r"\s+", "")
-    found = F.size(F.filter(significant, lambda w: F.array_contains(tokens, w) | F.contains(compact, w)))
+    compact = F.regexp_replace(F.lower(F.substring(text, 1, 12000)), "[^a-z0-9]+", "")  # a word of the text is a part of this as well
+    found = F.aggregate(held_in(significant, compact), F.lit(0), lambda n, hit: n + hit.cast("int"))
     named = F.lit(False)
     if author is not None:
         names = words(F.regexp_replace(F.lower(F.coalesce(author, F.lit(""))), "[^a-z0-9 ]", " "))
-        named = F.exists(names, lambda w: (F.length(w) > 3) & (w != "others") & (F.array_contains(tokens, w) | F.contains(compact, w)))
+        named = F.exists(held_in(F.filter(names, lambda w: (F.length(w) > 3) & (w != "others")), compact), lambda hit: hit)
     return (
         F.when((F.size(significant) < 3) | (F.trim(text) == ""), "unknown")
         .when((found / F.greatest(F.size(significant), F.lit(1)) >= 0.6) | named, "ok")

@@ -44,8 +44,10 @@ def word_grams(c: Column, n: int = 6) -> Column:
 def unsourced_fragment(extracted: Column, claim: Column, source: Column, n: int = 6) -> Column:
     """Does the extraction hold n words of the claim's own wording that the source does not hold?"""
     shared = F.array_intersect(word_grams(extracted, n), word_grams(claim, n))
-    padded, stream = F.concat(F.lit(" "), t.loose(source), F.lit(" ")), t.charstream(source)
-    return F.exists(shared, lambda g: ~F.contains(padded, F.concat(F.lit(" "), g, F.lit(" "))) & ~F.contains(stream, F.replace(g, F.lit(" "), F.lit(""))))
+    padded = F.concat(F.lit(" "), t.loose(source), F.lit(" "))
+    as_words = t.held_in(F.transform(shared, lambda g: F.concat(F.lit(" "), g, F.lit(" "))), padded)
+    as_letters = t.held_in(F.transform(shared, lambda g: F.replace(g, F.lit(" "), F.lit(""))), t.charstream(source))
+    return F.exists(F.zip_with(as_words, as_letters, lambda a, b: ~a & ~b), lambda missing: missing)
 
 
 def page_of(sentences: DataFrame, pages: DataFrame, key: str) -> DataFrame:

@@ -71,11 +71,16 @@ def gate_chunks(chunks: DataFrame, by: list[str], n_sentences: str, top: int = 6
 
 def map_to_sentence(quotes: DataFrame, sentences: DataFrame, source: str, least: float = 0.6) -> DataFrame:
     """quote, source, j: the sentence that a quoted text stands for; equal, contained, or by overlap of words."""
-    a, b = t.norm(F.col("quote_text")), t.norm(F.col("text"))
-    pairs = quotes.join(sentences, source).select("quote", source, "j", a.alias("a"), b.alias("b")).where("b <> ''")
+    # words are counted before the join, so that most pairs are told apart by two numbers and two searches
+    distinct = lambda c: F.array_distinct(F.split(c, " "))
+    left = quotes.select("quote", source, t.norm(F.col("quote_text")).alias("a")).withColumn("na", F.size(distinct("a")))
+    right = sentences.select(source, "j", t.norm(F.col("text")).alias("b")).where("b <> ''").withColumn("nb", F.size(distinct("b")))
+    pairs = left.join(right, source)
     short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    wa, wb = F.array_distinct(F.split("a", " ")), F.array_distinct(F.split("b", " "))
-    held = (F.contains(F.col("a"), F.col("b")) | F.contains(F.col("b"), F.col("a"))) & (short >= 20)
+    held = (short >= 20) & (F.contains(F.col("a"), F.col("b")) | F.contains(F.col("b"), F.col("a")))
+    sized = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
+    pairs = pairs.where(sized | held | (F.col("a") == F.col("b")))
+    wa, wb = distinct("a"), distinct("b")
     score = F.when(F.col("a") == F.col("b"), 2.0).when(held, 0.6 + 0.4 * short / long).otherwise(F.size(F.array_intersect(wa, wb)) / F.size(F.array_union(wa, wb)))
     best = pairs.withColumn("score", score).groupBy("quote", source).agg(F.max(F.struct("score", (-F.col("j")).alias("first"))).alias("m"))
     return best.where(F.col("m.score") >= least).select("quote", source, (-F.col("m.first")).alias("j"), F.col("m.score").alias("score"))
