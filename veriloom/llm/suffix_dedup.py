@@ -79,8 +79,7 @@ class Sorter:
         self.rest = length - self.period + 1
         if self.rest < 16:
             raise ValueError("the length must exceed the cover's period by 16 at least")
-        self.in_cover = np.zeros(self.period, bool)
-        self.in_cover[cover] = True
+        self.cover = np.sort(cover)
 
     def open(self, blob: bytes, lengths: bytes) -> None:
         import zstandard
@@ -88,26 +87,29 @@ class Sorter:
         sizes = np.frombuffer(lengths, np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=int(self.bounds[-1])), np.uint8)
-        self.start = np.repeat(self.bounds[:-1], sizes)
-        self.room = np.repeat(self.bounds[1:], sizes) - np.arange(len(self.data))
-        self.one, self.two = Prefix(self.data), Prefix(self.data, 2, 0x9FB21C651E98DF25)
+        self.one = Prefix(self.data)
 
     def values(self, at: np.ndarray, length: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix(mix(self.one.hashes(at, at + length)) * U(3) + self.two.hashes(at, at + length))
+        return mix(self.one.hashes(at, at + length))
 
     def samples(self) -> np.ndarray:
-        """The cover sample: positions with enough text behind them to take part in a tie."""
-        at = np.flatnonzero(self.room >= self.rest)
-        return at[self.in_cover[(at - self.start[at]) % self.period]]
+        """The cover sample: places with enough text behind them to take part in a tie."""
+        start, sizes = self.bounds[:-1], np.diff(self.bounds)
+        turns = np.arange(int(sizes.max(initial=0)) // self.period + 1) * self.period
+        pattern = (turns[:, None] + self.cover).ravel()
+        counts = np.searchsorted(pattern, sizes - self.rest, side="right")
+        done = np.cumsum(counts) - counts
+        return np.repeat(start, counts) + pattern[np.arange(counts.sum()) - np.repeat(done, counts)]
 
     def unresolved(self, samples: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """The suffixes that the ranks leave open: a sample whose rank is shared lies less than a period behind."""
-        hit = samples[shared]
-        opened = np.zeros(len(self.room) + 1, np.int32)
-        np.add.at(opened, np.maximum(hit - self.period + 1, self.start[hit]), 1)
+        hit, size, start, end = samples[shared], int(self.bounds[-1]), self.bounds[:-1], self.bounds[1:]
+        opened = np.zeros(size + 1, np.int32)
+        np.add.at(opened, np.maximum(hit - self.period + 1, start[np.searchsorted(start, hit, side="right") - 1]), 1)
         np.add.at(opened, hit + 1, -1)
-        return np.flatnonzero((np.cumsum(opened[:-1]) > 0) & (self.room >= self.length))
+        np.add.at(opened, np.maximum(start, end - self.length + 1), -(1 << 20))  # too little text behind
+        np.add.at(opened, end, 1 << 20)
+        return np.flatnonzero(np.cumsum(opened[:-1]) > 0)
 
     def pieces(self, at: np.ndarray):
         """Runs of successive open suffixes with the same bucket key, each distinct text once.
@@ -117,25 +119,27 @@ class Sorter:
         if not len(at):
             return
         width = self.length - GRAM + 1
-        place = np.arange(len(self.data) - GRAM + 1, dtype=np.int64)
+        near = np.zeros(len(self.data) + 1, np.int32)  # only grams of open suffixes are hashed
+        near[at] += 1
+        near[at + width] -= 1
+        place = np.flatnonzero(np.cumsum(near[:-1]) > 0)
         with np.errstate(over="ignore"):
             grams = mix(self.one.hashes(place, place + GRAM))
-        low = (grams & U(0xFFFFFFFF00000000)) | place.astype(U)  # equal hashes: the first one of the window
-        span = 1
+        low = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(place), dtype=U)  # equal hashes: the first one of the window
+        span, begin = 1, np.searchsorted(place, at)
         while 2 * span <= width:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
-        anchor = (np.minimum(low[at], low[at + width - span]) & U(0xFFFFFFFF)).astype(np.int64)
+        anchor = (np.minimum(low[begin], low[begin + width - span]) & U(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(anchor) != 0)]))
         start, n = at[first], np.diff(np.append(first, len(at)))
         end = start + n - 1 + self.length
-        with np.errstate(over="ignore"):
-            text = mix(mix(self.one.hashes(start, end)) * U(3) + self.two.hashes(start, end))
-        order = np.argsort(text, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(text[order]) != 0]))
-        for a, b in zip(edges.tolist(), np.append(edges[1:], len(order)).tolist(), strict=True):
-            k = order[a]
-            yield int(grams[anchor[first[k]]].view(np.int64)), int(n[k]), start[order[a:b]], self.data[start[k] : end[k]].tobytes()
+        found: dict[bytes, list[int]] = {}
+        for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+            found.setdefault(self.data[a:b].tobytes(), []).append(k)
+        keys = grams[anchor[first]].view(np.int64)
+        for text, where in found.items():
+            yield int(keys[where[0]]), int(n[where[0]]), start[where], text
 
     def ship(self, values: np.ndarray, step: int, chunk: int, owners: np.ndarray | None = None):
         """A row for each range of values: the chunk's distinct ones in order, and which of them it holds repeatedly.
@@ -180,11 +184,8 @@ class WordSorter(Sorter):
         kept[1:] |= solid[:-1]  # one sign after each word
         place = np.concatenate([[0], np.cumsum(kept)])
         data = np.where(solid, data, 32).astype(np.uint8)[kept]
-        self.at, self.to, self.firsts = place[starts], place[ends - 1] + 1, firsts
-        counts = np.diff(firsts)
-        self.owner = np.repeat(np.arange(len(sizes)), counts)
-        self.start = np.repeat(firsts[:-1], counts)
-        self.room = np.repeat(firsts[1:], counts) - np.arange(len(starts))
+        self.at, self.to, self.bounds = place[starts], place[ends - 1] + 1, firsts
+        self.owner = np.repeat(np.arange(len(sizes)), np.diff(firsts))
         self.one = Prefix(data)
 
     def values(self, at: np.ndarray, length: int) -> np.ndarray:
@@ -350,9 +351,10 @@ def compare_prints(pieces: DataFrame, length: int) -> DataFrame:
         texts, counts = table.column("text").to_pylist(), table.column("n").to_numpy().astype(np.int64)
         data, bounds = joined(texts)
         at = np.concatenate([np.arange(a, a + n) for a, n in zip(bounds[:-1].tolist(), counts.tolist(), strict=True)])
-        sorter.one, sorter.two = Prefix(data), Prefix(data, 2, 0x9FB21C651E98DF25)
+        with np.errstate(over="ignore"):
+            values = mix(mix(Prefix(data).hashes(at, at + length)) * U(3) + Prefix(data, 2, 0x9FB21C651E98DF25).hashes(at, at + length))
         often = np.repeat([len(s) > 8 for s in table.column("starts").to_pylist()], counts)
-        return sorter.values(at, length), often, counts
+        return values, often, counts
 
     def ship(key, table):
         values, often, _ = prints(table)
@@ -452,10 +454,10 @@ def shared_words(chunks: DataFrame, total: int, count: int, order: int = WORD_OR
             for row in batch.to_pylist():
                 at, flags = left_open(row)
                 if len(at) and flags:
-                    tied, edge = at[sorter.shared(sorter.values(at, count), flags)], np.zeros(len(sorter.room) + 1, np.int32)
+                    tied, edge = at[sorter.shared(sorter.values(at, count), flags)], np.zeros(len(sorter.owner) + 1, np.int32)
                     np.add.at(edge, tied, 1)
                     np.add.at(edge, tied + count, -1)
-                    held = np.bincount(sorter.owner, weights=np.cumsum(edge[:-1]) > 0, minlength=len(sorter.firsts) - 1).astype(np.int64)
+                    held = np.bincount(sorter.owner, weights=np.cumsum(edge[:-1]) > 0, minlength=len(sorter.bounds) - 1).astype(np.int64)
                     if held.any():
                         yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["chunk", "words"])
 
