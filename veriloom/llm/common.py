@@ -47,6 +47,22 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def parts(batches, column: int, rows: int = 256, size: int = 1 << 20):
+    """Slices of Arrow batches with at most so many rows and, unless one row alone has more, so many bytes of text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            held = ends[at - 1] if at else 0
+            n = int(np.searchsorted(ends, held + size, side="right")) - at
+            n = max(1, min(n, rows))
+            yield batch.slice(at, n)
+            at += n
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import parts, text_or_empty
 from .hashing import SIGNS, text_shingles
 
 RADIUS = 20
@@ -138,12 +138,6 @@ def slices(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> list[list[tu
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
-def _small(batches, rows: int = 512):
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def find_items(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids, similarities (of the best window of each item)."""
     empty = lambda kind: F.lit(None).cast(f"array<{kind}>")
@@ -153,7 +147,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY,
 
         def work(batches, part=part):
             items = Items([i for i, _ in part], [t for _, t in part], radius, least)
-            for batch in _small(batches):
+            for batch in parts(batches, 1, 512):
                 got = [list(m.items()) for m in items.match_all(batch.column(1).to_pylist())]
                 ids = [(a or []) + [i for i, _ in m] for a, m in zip(batch.column(2).to_pylist(), got, strict=True)]
                 sims = [(a or []) + [s for _, s in m] for a, m in zip(batch.column(3).to_pylist(), got, strict=True)]
@@ -171,7 +165,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMI
 
         def work(batches, part=part):
             items = Items([i for i, _ in part], [t for _, t in part], radius, least)
-            for batch in _small(batches):
+            for batch in parts(batches, at, 512):
                 yield batch.filter(pa.array([not m for m in items.match_all(batch.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(work, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))

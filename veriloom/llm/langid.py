@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import parts, text_or_empty
 from .hashing import joined, words
 
 UND = "und"
@@ -124,12 +124,12 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     if not sizes:
         return Model([], np.zeros((CODES, 0), np.float32))
     scale = 1 << 20
-    parts = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(scale, -(-per_language * scale // n)))])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < parts[F.col("lang")]).select("lang", "text")
+    quota = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(scale, -(-per_language * scale // n)))])
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < quota[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in parts(batches, 1):
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             texts = batch.column(1).to_pylist()
             for lang in set(langs):
@@ -149,17 +149,11 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
-def _small(batches, most: int = 256):
-    for batch in batches:
-        for at in range(0, batch.num_rows, most):
-            yield batch.slice(at, most)
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, and the chosen languages with their shares."""
 
     def work(batches):
-        for batch in _small(batches):
+        for batch in parts(batches, 2):
             got = model.predict(batch.column(2).to_pylist())
             columns = [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string())), pa.array([g[3] for g in got], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "languages", "shares"])
@@ -173,7 +167,7 @@ def keep_identified(docs: DataFrame, model: Model, languages: list[str] | None =
     at = docs.columns.index("text")
 
     def work(batches):
-        for batch in _small(batches):
+        for batch in parts(batches, at):
             got = model.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([g[0] != UND and (languages is None or g[0] in languages) for g in got], pa.bool_()))
 

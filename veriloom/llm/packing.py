@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, parts, text_or_empty
 
 CAPACITY = 2048
 END_ID = 1
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 
 # Fixed value: the word pattern of the tokenizer file, for texts below U+0300.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:_|[^\w\s])+"
@@ -107,7 +107,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
 
         encode, part, seen = encoder(path), TaskContext.get().partitionId(), {}
         end, types = np.uint32(end_id).astype("<u4").tobytes(), [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
+        for batch in parts(batches, 1, 200):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist()), strict=True):
                 ids += end
