@@ -9,7 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 4 MB between JVM and Python, where the session has Spark's own 64 MB."""
+    if spark.conf.get(BATCH, "") in ("64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(BATCH, "4m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
