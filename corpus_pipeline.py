@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veriloom.llm import decontaminate, exact_dedup, jaccard_join, langid, packing
-from veriloom.llm.common import materialize, table
+from veriloom.llm.common import materialize, small_batches, table
 from veriloom.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _documents(docs: DataFrame) -> DataFrame:
+    """The stages' columns; each stage gives null texts, ties, repeated rows and empty tables what its operator does."""
+    small_batches(docs.sparkSession)
     return docs.select(COLUMNS)
 
 
