@@ -14,7 +14,7 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def small_batches(spark: SparkSession) -> None:
     """Batches of 4 MB between JVM and Python, where the session has Spark's own 64 MB."""
-    if spark.conf.get(BATCH, "") in ("64m", "64MB", "67108864", "67108864b"):
+    if spark.conf.get(BATCH, "64m") in ("64m", "64MB", "67108864", "67108864b"):
         spark.conf.set(BATCH, "4m")
 
 
