@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components
+from .lineage import cut
 
 
 @F.pandas_udf(T.DoubleType())
@@ -118,26 +118,30 @@ def source_sentences(texts: pd.Series) -> pd.Series:
 def greedy_pairs(pairs: DataFrame, most: int = 3) -> DataFrame:
     """Pairs (a, b, cos) taken from the best down; a pair is skipped if either end has ``most`` already.
 
-    Choices only meet within a connected component of the pairs, so each component is one group.
+    A pair that is among the best free places of both its ends is taken whatever the others do, so all of these are
+    taken at once, round by round; each round takes the best pair that is left at least. No group is held in one task.
     """
-    roots = components(pairs, "a", "b").select(F.col("node").alias("a"), "root")
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        used: dict[int, int] = {}
-        kept = []
-        for row in group.sort_values(["cos", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-            if used.get(row.a, 0) < most and used.get(row.b, 0) < most:
-                used[row.a], used[row.b] = used.get(row.a, 0) + 1, used.get(row.b, 0) + 1
-                kept.append((row.a, row.b, row.cos))
-        return pd.DataFrame(kept, columns=["a", "b", "cos"])
-
-    return pairs.join(roots, "a").groupBy("root").applyInPandas(choose, "a long, b long, cos double")
+    left, taken = cut(pairs.select("a", "b", "cos")), None
+    while not left.isEmpty():
+        ends = left.withColumn("node", F.explode(F.array("a", "b")))
+        order = F.row_number().over(Window.partitionBy("node").orderBy(F.col("cos").desc(), "a", "b"))
+        places = F.lit(most)
+        ranked = ends.withColumn("n", order)
+        if taken is not None:
+            held = taken.withColumn("node", F.explode(F.array("a", "b"))).groupBy("node").agg(F.count("*").alias("held"))
+            ranked, places = ranked.join(held, "node", "left"), F.lit(most) - F.coalesce("held", F.lit(0))
+        judged = cut(ranked.groupBy("a", "b", "cos").agg(F.bool_and(F.col("n") <= places).alias("sure"), F.bool_or(places <= 0).alias("full")))
+        fresh = judged.where("sure").select("a", "b", "cos")
+        taken = cut(fresh if taken is None else taken.unionByName(fresh))
+        left = cut(judged.where("not sure and not full").select("a", "b", "cos"))
+    return pairs.select("a", "b", "cos").where("false") if taken is None else taken
 
 
 def fuzzy_rematch(left: DataFrame, right: DataFrame, block: str, least: float = 0.6, bonus: float = 0.05) -> DataFrame:
     """(new_id, old_id): leftovers of two runs matched greedily in order by the best ratio within a block; each old one once.
 
     ``left`` has (block, new_id, text, markers), ``right`` (block, old_id, text, markers); equal markers add a bonus.
+    A block is one document's leftovers: it is matched in order by one task and must fit there.
     """
 
     def choose(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -158,8 +162,6 @@ def fuzzy_rematch(left: DataFrame, right: DataFrame, block: str, least: float =
 
 def mint_keys(rows: DataFrame) -> DataFrame:
     """Citation keys from surname and year (title's first long word without a surname); repeats get _2, _3 in order."""
-    from pyspark.sql import Window
-
     word = F.element_at(F.filter(F.split(F.regexp_replace(F.lower("title"), "[^a-z0-9 ]", " "), " +"), lambda w: F.length(w) > 3), 1)
     base = F.concat(F.coalesce(F.nullif(F.regexp_replace(F.lower("surname"), "[^a-z]", ""), F.lit("")), word, F.lit("source")), F.coalesce("year", F.lit("")))
     keyed = rows.withColumn("base", base)
