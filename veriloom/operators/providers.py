@@ -154,3 +154,26 @@ def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
     held = first.where("neighbour is not null")
     open_ones = first.select("paper", "direction").distinct().join(held.select("paper", "direction").distinct(), ["paper", "direction"], "left_anti")
     return held.withColumn("via", F.lit("first")).unionByName(second.where("neighbour is not null").join(open_ones, ["paper", "direction"], "left_semi").withColumn("via", F.lit("second")))
+
+
+def fetch_all(rows: DataFrame, fetchers: dict[str, Callable[[str], str | None]]) -> DataFrame:
+    """paper, via, outcome, filename of each (paper, via): what the fetcher of that name saved, or why it did not.
+
+    A fetcher gives a file's name or None; one that fails sinks only its own row.
+    """
+
+    def one(paper: str, via: str) -> tuple[str, str | None]:
+        if via not in fetchers:
+            return "no_fetcher", None
+        try:
+            name = fetchers[via](paper)
+        except Exception as e:  # noqa: BLE001 - any failure of a fetcher is its row's outcome
+            return f"error: {e}", None
+        return ("saved", name) if name else ("not_found", None)
+
+    def work(batches):
+        for batch in batches:
+            got = [one(p, v) for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=["paper", "via", "outcome", "filename"])
+
+    return rows.select("paper", "via").mapInArrow(work, "paper string, via string, outcome string, filename string")

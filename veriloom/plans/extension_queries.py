@@ -137,6 +137,15 @@ def c08_u06_bibtex(spark, sf_dir):
     return scans.load_bibliography(spark, path + ".bib").select("key", "title", "doi")
 
 
+@query("SELECT CAST(unnest([1, 2]) AS INTEGER) AS page, unnest(CASE WHEN n_name LIKE 'A%' THEN [lower(n_name), 'two'] ELSE [n_name, 'two'] END) AS text FROM nation")
+def c04_pdf_pages(spark, sf_dir):
+    """Pages by an extractor of the caller's; names with an A at the start count as garbled, which the fallback mends."""
+    path = _folder(spark, "files")
+    read(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("|two")).alias("value")).write.partitionBy("n_nationkey").text(path)
+    pages = lambda raw: raw.decode().strip().split("|")
+    return scans.read_pdfs(spark, f"{path}/*/*.txt", pages, lambda raw: pages(raw.lower()), lambda text: float(text.startswith("A"))).select("page", "text")
+
+
 @query("SELECT c_custkey AS key, c_name || ', \"x\"' AS title FROM customer")
 def c10_tables(spark, sf_dir):
     path = _folder(spark, "table")
@@ -298,6 +307,25 @@ def u01_provider(spark, sf_dir):
     return prompts.select("doc_id", "prompt_sha").join(got, "prompt_sha").select("doc_id", "raw")
 
 
+@query("""SELECT 'p' || s_suppkey AS paper, CASE s_suppkey % 4 WHEN 0 THEN 'saved' WHEN 1 THEN 'not_found' WHEN 2 THEN 'error: closed' ELSE 'no_fetcher' END AS outcome, CASE WHEN s_suppkey % 4 = 0 THEN 'p' || s_suppkey || '.pdf' END AS filename FROM supplier""")
+def u03_u04_fetchers(spark, sf_dir):
+    """Each paper by the fetcher of its name: one saves, one finds nothing, one fails, one is not there."""
+
+    def closed(paper):
+        raise OSError("closed")
+
+    rows = read(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), "s_suppkey").alias("paper"), by_turn(F.col("s_suppkey"), "direct", "mirror", "shop", "other").alias("via"))
+    return providers.fetch_all(rows, {"direct": lambda p: f"{p}.pdf", "mirror": lambda p: None, "shop": closed}).select("paper", "outcome", "filename")
+
+
+@query("SELECT c_custkey, unnest(['author-year', 'numeric', 'pandoc']) AS recogniser, unnest([1, 3, 2]) AS n FROM customer")
+def u05_recognisers(spark, sf_dir):
+    """Every registered recogniser over one text."""
+    text = F.concat(F.lit("As (Lee, 2020) says [1, 3-4], and [@a; @b"), "c_custkey", F.lit("]."))
+    rows = [read(spark, sf_dir, "customer").select("c_custkey", F.lit(name).alias("recogniser"), F.size(found(text)).alias("n")) for name, found in sorted(citations.RECOGNISERS.items())]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("SELECT substr(sha1('m' || chr(31) || lang), 1, 16) AS cache_key, CASE WHEN lang = 'en' THEN [9.0] ELSE [CAST(length(lang) AS DOUBLE)] END AS vector FROM documents GROUP BY lang")
 def r01_u02_embeddings(spark, sf_dir):
     """One vector a distinct text: English comes from the cache, the others from the embedder."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.evidence import fold
+from .bibliography import numeric_citations, pandoc_keys
 
 # What a year looks like, and abbreviations after which a full stop ends no sentence.
 YEAR = r"(?:1[89]|20)\d{2}"
@@ -108,5 +109,5 @@ def convert(texts: DataFrame, index: DataFrame, by: str, text: str) -> DataFrame
     return texts.join(sure, by, "left").select(by, with_markers(F.col(text), F.col("cited")).alias("text"))
 
 
-#: Recognisers by name: each takes a text column and gives mentions; a further one is registered here.
-RECOGNISERS = {"author-year": author_year}
+#: Recognisers by name: each takes a text column and gives an array of what it found; a further one is registered here.
+RECOGNISERS = {"author-year": author_year, "numeric": numeric_citations, "pandoc": pandoc_keys}
