@@ -32,6 +32,12 @@ BOILERPLATE = (
 )
 TABLE_LEAD = r"(?i)^\s*(table|fig(?:ure)?|appendix|supplement(?:ary|al)?|scheme)\s*[0-9IVX]+\b"
 STAT_LEAD = r"(?i)^\s*[\(\[]?\s*(p\s*[<>=≤≥]|n\s*=\s*\d|95%\s*ci)"
+BARE_STAT, STAT_FRAGMENT = r"^(A |The )?P\s?[<>=]", r"(?i)\b(the intercept was|the slope was)\b"
+CAPTION = (
+    r"(?i)common superscript|open symbol|closed symbol|are plotted|is plotted|line of identity|values? in the same (row|column)|"
+    r"shown in (the )?(figure|table)|see (figure|table)|data are presented as mean"
+)
+NOTICE = r"(?i)supported in part by|wish to express|acknowledge the|gratitude to|conflicts? of interest|disclosure questionnaire|expert peer review"
 LEXICAL = r"\d{1,3}(?:[ ,.]\d{3})+|\d+(?:[.,]\d+)?%?|[a-z]{4,}"
 GROUPED = r"^\d{1,3}(?:[ ,.]\d{3})+$"
 QUOTED = "[“\"]([^“”\"]{10,240})[”\"]"
@@ -185,17 +191,12 @@ def junk_tags(c: Column) -> Column:
     """All tags that apply, in a fixed order, joined by commas."""
     t, n = F.trim(c), F.size(words(c))
     last = F.lower(F.element_at(words(F.regexp_replace(t, r"[).\]\"]+$", "")), -1))
-    caption = (
-        r"(?i)common superscript|open symbol|closed symbol|are plotted|is plotted|line of identity|values? in the same (row|column)|"
-        r"shown in (the )?(figure|table)|see (figure|table)|data are presented as mean"
-    )
-    notice = r"(?i)supported in part by|wish to express|acknowledge the|gratitude to|conflicts? of interest|disclosure questionnaire|expert peer review"
     tags = [
-        F.when(t.rlike(r"^(A |The )?P\s?[<>=]") & (n <= 6), "bare-stat"),
-        F.when(t.rlike(r"(?i)\b(the intercept was|the slope was)\b"), "stat-fragment"),
-        F.when(t.rlike(caption), "caption"),
+        F.when(t.rlike(BARE_STAT) & (n <= 6), "bare-stat"),
+        F.when(t.rlike(STAT_FRAGMENT), "stat-fragment"),
+        F.when(t.rlike(CAPTION), "caption"),
         F.when((n > 0) & last.isin(FUNCTION_WORDS), "truncated"),
-        F.when(t.rlike(notice), "boilerplate"),
+        F.when(t.rlike(NOTICE), "boilerplate"),
         F.when(n < 4, "too-short"),
     ]
     return F.array_join(F.array_compact(F.array(*tags)), ",")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as t
 
-# Months as they are written.
+# Months as they are written, how a negative answer names what is missing, and where such a part ends.
 MONTHS = {m: k for k, ms in enumerate(["jan january", "feb february", "mar march", "apr april", "may", "jun june", "jul july", "aug august", "sep sept september", "oct october", "nov november", "dec december"], 1) for m in ms.split()}
 MISSING_PART = [
     r"(?i)(?:passage|sources?|text|claim)s?\s+do(?:es)?\s+not\s+(?:explicitly\s+)?(?:state|mention|contain|include|say|support|back|establish|demonstrate|show|confirm|indicate|prove|note|report|specify|address|discuss|provide|make)\s*(?:that\s+|the\s+claim\s+that\s+|information\s+about\s+|any\s+)?(.+)",
@@ -19,6 +19,8 @@ MISSING_PART = [
     r"(?i)the\s+(?:claim|fact|statement|assertion)\s+that\s+(.+?)\s+is\s+(?:directly\s+|explicitly\s+)?contradicted",
     r"(?i)(?:passage|sources?|text)s?\s+(?:directly\s+|explicitly\s+)?contradicts?\s+(?:the\s+(?:claim|statement|assertion|fact|idea)\s+(?:that\s+)?|that\s+)?(.+)",
 ]
+PART_BREAK = r"(?i),?\s+(?:nor|or|and)\s+that\s+|,?\s+nor\s+"
+PART_TAIL = r"(?i)\s+[—–;]\s+.*$|,\s+(?:because|since|whereas|which|as\s+the\s+passage)\b.*$"
 PRONOUNS = ["it", "this", "that", "them", "the claim", "the statement", "the assertion", "the fact"]
 
 
@@ -63,9 +65,8 @@ def page_of(sentences: DataFrame, pages: DataFrame, key: str) -> DataFrame:
 def missing_parts(reason: Column) -> Column:
     """What a negative answer says is absent: up to three parts, pronouns left out."""
     first = F.coalesce(*[F.nullif(F.regexp_extract(reason, p, 1), F.lit("")) for p in MISSING_PART])
-    parts = F.split(F.regexp_replace(first, r"(?i),?\s+(?:nor|or|and)\s+that\s+|,?\s+nor\s+", t.MARK), t.MARK)
-    tail = r"(?i)\s+[—–;]\s+.*$|,\s+(?:because|since|whereas|which|as\s+the\s+passage)\b.*$"
-    clean = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(p, tail, "")), "^[\"“”'‘’]+|[\"“”'‘’]+$", ""), r"\.+$", ""))
+    parts = F.split(F.regexp_replace(first, PART_BREAK, t.MARK), t.MARK)
+    clean = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(p, PART_TAIL, "")), "^[\"“”'‘’]+|[\"“”'‘’]+$", ""), r"\.+$", ""))
     return F.coalesce(F.slice(F.filter(clean, lambda p: (p != "") & ~F.lower(p).isin(PRONOUNS)), 1, 3), F.array().cast("array<string>"))
 
 

@@ -17,10 +17,9 @@ from pyspark.sql import types as T
 from ..operators.evidence import fold
 from .bibliography import numeric_citations, pandoc_keys
 
-# What a year looks like, and abbreviations after which a full stop ends no sentence.
+# What years, citations in parentheses and names before a year look like, and where no sentence ends.
 YEAR = r"(?:1[89]|20)\d{2}"
 ABBREVIATIONS = ("et al", "e.g", "i.e", "cf", "vs", "etc", "fig", "figs", "no", "vol", "pp", "p", "ca", "approx", "dr", "prof", "mr", "ms", "st")
-
 PAREN = re.compile(rf"\(([^()]*\b{YEAR}[a-z]?\b[^()]*)\)")
 NARRATIVE = re.compile(rf"\b([A-Z][\w'’-]+)(?:\s+(?:et al\.?|(?:and|&)\s+[A-Z][\w'’-]+))?\s*(\(\s*({YEAR})[a-z]?\s*\))")
 YEARS, SURNAME = re.compile(rf"\b({YEAR})[a-z]?\b"), re.compile(r"[A-Z][\w'’-]+")
