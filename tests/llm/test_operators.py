@@ -637,6 +637,15 @@ def test_best_fit_decreasing():
         assert sorted(rooms) == sorted(want)
 
 
+def test_written_out_classes_are_the_pattern():
+    import re
+
+    plain, fast, rng = re.compile(packing.WORD).findall, packing.word_pattern().findall, random.Random(4)
+    for k in range(20_000):
+        text = "".join(chr(rng.randrange(128 if k % 2 else 0x300)) for _ in range(12)) + "'ll don't it's_9"
+        assert plain(text.lower()) == fast(text.lower()) or "İ" in text
+
+
 def test_encoder_equals_tokenizer():
     encode = packing.encoder(tokenizer_path())
     texts = [r[1] or "" for r in odd_rows()] + ["It's Don't 12,5 “x” é naïve ﬁ Σας İx a\xa0b\x85c <|endoftext|>", unicodedata.normalize("NFD", "éàü"), "\x1c a\x1fb ŉ ǰ ẞ"]

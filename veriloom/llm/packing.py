@@ -31,12 +31,19 @@ from .common import materialize, parts, text_or_empty
 
 CAPACITY = 2048
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 
 # Fixed value: the word pattern of the tokenizer file, for texts below U+0300.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:_|[^\w\s])+"
 
 
+def word_pattern() -> re.Pattern:
+    """The same pattern with its classes written out, letters first, for lower-cased texts of characters below U+0300."""
+    known = sorted({c for k in range(0x300) for c in chr(k).lower()} | set(map(chr, range(0x300))))
+    letters, digits, signs = ("".join(re.escape(c) for c in known if re.fullmatch(kind, c)) for kind in (r"[^\W\d_²³¹¼½¾]", r"[\d²³¹¼½¾]", r"_|[^\w\s]"))
+    return re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{digits}]|[{signs}]+")
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level file: itself if printable, else the next from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -57,7 +64,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.find = re.compile(WORD).findall
+        self.find = word_pattern().findall
         self.odd = re.compile("[^\x00-˿]|[\x1c-\x1f\x85\xa0İŉǰ]").search
         self.control = re.compile("[\x1c-\x1f]").search
         self.words: dict[str, bytes] = {}
