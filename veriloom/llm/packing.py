@@ -209,7 +209,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     bounds = F.broadcast(spark.createDataFrame(plan, names))  # a few entries for each size up to the capacity
     before = F.sum("count").over(Window_by_length())
     bases = by_part.select("length", "part", (before - F.col("count")).alias("base"))
-    ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # the bases grow with the partitions, so they are never broadcast
+    ranked = pieces.join(bases.hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
     at = F.col("rank") - F.col("rank_from")
     placed = ranked.join(bounds, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     return placed.select(
