@@ -22,11 +22,11 @@ def variant_pairs(claims: DataFrame, by: str) -> DataFrame:
     Nearly equal wording is strong unless only one of them negates; somewhat equal wording, or vectors that lie close,
     are weak. A map's claims are compared with each other only; the earlier one is ``a``. ``vector`` may be null.
     """
-    # texts whose lengths differ this much cannot reach the ratio, and need no comparison
     side = lambda x: claims.select(by, *[F.col(c).alias(f"{c}_{x}") for c in ("ord", "text", "vector")], t.norm(F.col("text")).alias(f"n_{x}"))
     pairs = side("a").join(side("b"), by).where("ord_a < ord_b")
     short, long = F.least(F.length("n_a"), F.length("n_b")), F.greatest(F.length("n_a"), F.length("n_b"))
     near = F.when(F.col("vector_a").isNotNull() & F.col("vector_b").isNotNull(), retrieve.cosine(F.col("vector_a"), F.col("vector_b")))
+    # texts of too different lengths cannot reach the ratio, and need no comparison
     maybe = pairs.withColumn("cos", near).where((2 * short >= LEX_WEAK * (short + long)) | (F.col("cos") >= COS_WEAK))
     scored = maybe.withColumn("lex", sequential.sequence_ratio("n_a", "n_b"))
     mismatch = t.has_negation(F.col("text_a")) != t.has_negation(F.col("text_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import retrieve, sequential
+from ..operators import sequential
 from ..sources import bibliography
 from ..streaming import verdicts
 from .registry import query, read
