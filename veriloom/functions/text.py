@@ -102,7 +102,7 @@ def url_norm(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The words between white space; none for a blank text."""
-    return F.filter(F.split(oneline(c), " "), lambda w: w != "")
+    return F.array_remove(F.split(oneline(c), " "), "")
 
 
 def snippet(c: Column, n: int = 7) -> Column:
@@ -167,7 +167,7 @@ def reference_fragment(c: Column) -> Column:
     alpha = F.filter(all_words, lambda w: w.rlike(r"\p{L}"))
     titles = F.filter(alpha, lambda w: w.rlike(r"^\p{Lu}"))
     content = F.filter(alpha, lambda w: ~w.rlike(r"\p{Lu}") & ~w.isin(JOURNAL_WORDS))
-    return F.size(all_words).between(2, 7) & (F.size(titles) >= 2) & (F.size(content) == 0)
+    return F.when(~F.size(all_words).between(2, 7), False).otherwise((F.size(titles) >= 2) & (F.size(content) == 0))  # few are that short
 
 
 def citation_header(c: Column) -> Column:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from . import evidence, retrieve, sequential, windows
 
-# How many rows, parts and probes each stage allows.
+# How many rows, parts and probes each stage allows, and how a prompt asks for its answer.
 POOL, PARTS, ROWS, ESCALATED, REPROBED, FRESH, ENTITIES = 8, 4, 12, 3, 2, 2, 2
+ANSWER = "Return ONLY a JSON object"
 
 
 def keep_extraction(text: Column, j: Column, claim: Column, source: Column) -> Column:
@@ -224,7 +225,6 @@ def rescue_by_arbiter(findings: DataFrame, sentences: DataFrame, guarded: DataFr
 
 
 DATE_RULE = "Relative times in the passage resolve against the article's date, and the byline names its author."
-ANSWER = "Return ONLY a JSON object"
 
 
 def inject_date_rule(prompt: Column, passage: Column, rule: str = DATE_RULE) -> Column:
