@@ -257,7 +257,8 @@ def inject_error(c: Column) -> Column:
 
 def held_in(parts: Column, whole: Column) -> Column:
     """For each part whether the text holds it; the text is computed once a row, not once a part."""
-    return F.zip_with(parts, F.array_repeat(whole, F.size(parts)), lambda p, w: F.contains(w, p))
+    once = F.array(F.struct(parts.alias("parts"), whole.alias("whole")))
+    return F.get(F.transform(once, lambda r: F.transform(r["parts"], lambda p: F.contains(r["whole"], p))), 0)
 
 
 def title_check(title: Column, text: Column, author: Column | None = None) -> Column:

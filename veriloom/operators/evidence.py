@@ -47,9 +47,12 @@ def unsourced_fragment(extracted: Column, claim: Column, source: Column, n: int
     """Does the extraction hold n words of the claim's own wording that the source does not hold?"""
     shared = F.array_intersect(word_grams(extracted, n), word_grams(claim, n))
     padded = F.concat(F.lit(" "), t.loose(source), F.lit(" "))
-    as_words = t.held_in(F.transform(shared, lambda g: F.concat(F.lit(" "), g, F.lit(" "))), padded)
-    as_letters = t.held_in(F.transform(shared, lambda g: F.replace(g, F.lit(" "), F.lit(""))), t.charstream(source))
-    return F.exists(F.zip_with(as_words, as_letters, lambda a, b: ~a & ~b), lambda missing: missing)
+    once = F.array(F.struct(shared.alias("grams"), padded.alias("padded"), t.charstream(source).alias("stream")))  # computed once a row
+
+    def missing(r: Column, g: Column) -> Column:
+        return ~F.contains(r["padded"], F.concat(F.lit(" "), g, F.lit(" "))) & ~F.contains(r["stream"], F.replace(g, F.lit(" "), F.lit("")))
+
+    return F.exists(once, lambda r: F.exists(r["grams"], lambda g: missing(r, g)))
 
 
 def page_of(sentences: DataFrame, pages: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,33 @@ def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def longest_common(a: str, b: str) -> int:
+    """Length of the longest string in both, by bisection over lengths with fingerprints of all strings of one length."""
+    factor, sides = np.uint64(0x9E3779B97F4A7C15), []
+    with np.errstate(over="ignore"):
+        for s in (a, b):
+            powers = [(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) * factor]
+            while 2 << (len(powers) - 1) <= min(len(a), len(b)):
+                k, x = 1 << (len(powers) - 1), powers[-1]
+                x = (x[:-k] ^ (x[:-k] >> np.uint64(29))) * factor + x[k:]
+                powers.append(x ^ (x >> np.uint64(31)))
+            sides.append(powers)
+
+        def prints(powers: list, k: int) -> np.ndarray:
+            t = k.bit_length() - 1
+            x, rest = powers[t], k - (1 << t)
+            return x * factor + x[rest:] if not rest else x[:-rest] * factor + x[rest:]
+
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            k = (low + high + 1) // 2
+            if np.isin(prints(sides[0], k), prints(sides[1], k)).any():
+                low = k
+            else:
+                high = k - 1
+    return low
+
+
 @F.pandas_udf(T.DoubleType())
 def longest_block(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Length of the longest common block over the length of the first text; 1 where it is contained."""
@@ -31,7 +59,7 @@ def longest_block(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
             elif quote in text:
                 out.append(1.0)
             else:
-                out.append(SequenceMatcher(None, quote, text, autojunk=False).find_longest_match().size / len(quote))
+                out.append(longest_common(quote, text) / len(quote))
         yield pd.Series(out, dtype="float64")
 
 
