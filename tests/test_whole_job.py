@@ -75,3 +75,16 @@ def test_graphs_have_the_tables_own_keys(spark, sf_dir, name):
     if name == "d07_roles":
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
         assert keys == {r[c] for r in orders.collect() for c in ("o_orderkey", "o_custkey")}
+
+
+def test_abbreviations_merge_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    texts = ["Mit der Üst. lower here. End.", "An aſt. gap, fıg. two, figſ. three.", "Lee et al. found it. Smith ſt. too.", "élal. not glued. No. one", "See Fig. 3. al. 5", "", None]
+    folder, con = str(tmp_path), duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.execute(f"COPY documents TO '{folder}/documents.parquet' (FORMAT parquet)")
+    name = "g05_abbreviation_merge"
+    assert_same(catalog.queries()[name](spark, folder), con, catalog.oracle_sql()[name])
+    assert [r["text"] for r in catalog.queries()[name](spark, folder).where("doc_id = 0").orderBy("j").collect()] == ["Mit der Üst. lower here.", "End."]

@@ -231,9 +231,10 @@ def p10_source_adequacy(spark, sf_dir):
   SELECT doc_id, CAST(g - 1 AS INTEGER) AS j, string_agg(text, ' ' ORDER BY b.j) AS text FROM b GROUP BY doc_id, g""")
 def g05_abbreviation_merge(spark, sf_dir):
     order = Window.partitionBy("doc_id").orderBy("j")
-    glued = F.lag("text").over(order).rlike(t.ABBREVIATION) & F.col("text").rlike(r"^[a-z0-9(\[]")
+    ending = F.right("text", F.lit(12))  # no abbreviation is longer, with the character before it
+    glued = (F.col("j") > 0) & F.lag(ending).over(order).rlike(t.as_re2(t.ABBREVIATION)) & F.col("text").rlike(r"^[a-z0-9(\[]")
     rows = _sentences(spark, sf_dir).withColumn("starts", F.when(glued, 0).otherwise(1))
-    rows = rows.withColumn("g", F.sum("starts").over(order))
+    rows = rows.withColumn("g", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = rows.groupBy("doc_id", "g").agg(F.array_sort(F.collect_list(F.struct("j", "text"))).alias("parts"))
     return merged.select("doc_id", (F.col("g") - 1).cast("int").alias("j"), F.array_join("parts.text", " ").alias("text"))
 
