@@ -156,6 +156,49 @@ def test_split_bucket_finds_pairs():
     assert sum(frozenset((k, 4000 + k)) in found for k in range(500)) >= 490
 
 
+def joined_rows(n, edges):
+    """Each row's least row of its component."""
+    root = list(range(n))
+    for a, b in edges:
+        x, y = root[a], root[b]
+        if x != y:
+            root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def all_close(rows, close):
+    return [(a, b) for a in range(len(rows)) for b in range(a) if (rows[a] == rows[b]).sum() >= close * rows.shape[1]]
+
+
+def test_every_pair_of_a_bucket_is_compared():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 16, (5000, 64), np.uint8)
+    rows[4000:4500, :42] = rows[1000:1500, :42]
+    found = {frozenset(e) for e in jaccard_join.search_bucket(rows, 5, 0.8, 0.64)}
+    assert all(frozenset((1000 + k, 4000 + k)) in found for k in range(500))
+
+
+@pytest.mark.parametrize(("hot", "pivots"), [(40, 1), (40, 4), (8, 64)])
+def test_large_bucket_loses_no_link(spark, monkeypatch, hot, pivots):
+    """Rows that drift, a few tokens a step: what pivots take must still meet what they leave, and large rests are cut into blocks."""
+    import numpy as np
+
+    for name, value in {"HOT": hot, "SAMPLE": 2, "PIVOTS": pivots}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = np.random.default_rng(6)
+    rows = rng.integers(0, 16, (300, 64), np.uint8)
+    for k in range(1, 200):
+        if k % 50:
+            rows[k] = rows[k - 1]
+            at = rng.integers(0, 64, 14)
+            rows[k, at] = rng.integers(0, 16, 14)
+    sets = [(k, bytearray((r[::2] << 4 | r[1::2]).tobytes()), bytearray(np.array([7], np.int64).tobytes())) for k, r in enumerate(rows)]
+    got = jaccard_join.candidate_edges(spark.createDataFrame(sets, "rep long, sketch binary, paths binary"), 0.8, 0.64).collect()
+    assert joined_rows(300, [(r["a"], r["b"]) for r in got]) == joined_rows(300, all_close(rows, 0.64))
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 440)]

@@ -34,10 +34,9 @@ from .hashing import U, mix, text_shingles
 
 TOKENS = 64
 SIMILARITY = 0.8
-RECALL = 0.998
+RECALL = 0.99999  # for a pair that shares its expected tokens; over the spread of these, 25 runs lose 3 pairs in 100,000 at the bound
 DEPTH = 3
-SMALL = 2000  # rows of a bucket that are compared at once
-CLOSE = 0.64  # share of equal sketch tokens (4 bits each) of a candidate: 3.5 deviations under what the bound gives
+CLOSE = 0.58  # share of equal sketch tokens (4 bits each) of a candidate: a pair at the bound has fewer than its 38 with probability 1.3e-5
 TILE_SETS, TILE_SHINGLES = 700, 1_500_000
 HOT, SAMPLE, PIVOTS = 40_000, 16, 64  # rows of a bucket that is thinned first, the part of rows that finds such buckets, rows that thin it
 
@@ -125,65 +124,45 @@ def _match():
     return F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())
 
 
-def forest(sketches: np.ndarray, close: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of rows with enough equal sketch tokens; each row is expanded once."""
-    need = math.ceil(close * sketches.shape[1])
-    left, edges = np.arange(len(sketches)), []
-    while len(left) > 1:
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            seed = todo.pop()
-            near = np.count_nonzero(sketches[left] == sketches[seed], axis=1) >= need
-            found = left[near]
-            edges += [(seed, int(x)) for x in found]
-            todo += found.tolist()
-            left = left[~near]
-    return edges
+def packed(sketches: np.ndarray) -> np.ndarray:
+    """Sketches (rows x tokens of 4 bits) as words of 16 tokens, words x rows."""
+    wide = np.pad(sketches, ((0, 0), (0, -sketches.shape[1] % 16)))
+    return np.ascontiguousarray(np.ascontiguousarray(wide[:, ::2] << 4 | wide[:, 1::2]).view(U).T)
 
 
-def search_bucket(sketches: np.ndarray, key: int, similarity: float, close: float, deep: int = 0) -> list[tuple[int, int]]:
-    """The forest of a bucket. A large one first loses the rows tied to its first ones, then splits on sampled tokens."""
-    if len(sketches) <= SMALL or deep > 12:
-        return forest(sketches, close)
-    edges, rest = forest_from(sketches, close, SMALL // 4)
-    if len(rest) <= SMALL:
-        return edges + [(int(rest[a]), int(rest[b])) for a, b in forest(sketches[rest], close)]
-    for run in range(4):
-        row, child = _children(sketches[rest], key, run, similarity)
-        order = np.argsort(child, kind="stable")
-        cuts = np.flatnonzero(np.diff(child[order])) + 1
-        for part in np.split(order, cuts):
-            if len(part) > 1:
-                inner = rest[row[part]]
-                if len(inner) > 0.9 * len(rest):
-                    edges += [(int(inner[a]), int(inner[b])) for a, b in forest(sketches[inner], close)]
-                else:
-                    edges += [(int(inner[a]), int(inner[b])) for a, b in search_bucket(sketches[inner], int(child[part[0]]), similarity, close, deep + 1)]
-    return edges
+def differing(rows: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The number of tokens in which packed rows differ from a packed one."""
+    out = np.zeros(rows.shape[1], np.uint8)
+    for k in range(len(rows)):
+        x = rows[k] ^ seed[k]
+        x |= x >> U(2)
+        x |= x >> U(1)
+        x &= U(0x1111111111111111)
+        out += np.bitwise_count(x)
+    return out
 
 
-def forest_from(sketches: np.ndarray, close: float, seeds: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """The trees of the first ``seeds`` roots, and the rows that belong to none of them."""
-    need = math.ceil(close * sketches.shape[1])
-    left, edges, n = np.arange(len(sketches)), [], 0
-    while n < seeds and len(left) > 1:
-        todo, left, n = [int(left[0])], left[1:], n + 1
+def forest(sketches: np.ndarray, close: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows with enough equal sketch tokens; each row is expanded once."""
+    most = sketches.shape[1] - math.ceil(close * sketches.shape[1])
+    rows, edges = packed(sketches), []
+    left, rest = np.arange(len(sketches)), rows
+    while len(left) > 1:
+        todo, left, rest = [int(left[0])], left[1:], rest[:, 1:]
         while todo and len(left):
             seed = todo.pop()
-            near = np.count_nonzero(sketches[left] == sketches[seed], axis=1) >= need
-            edges += [(seed, int(x)) for x in left[near]]
-            todo += left[near].tolist()
-            left = left[~near]
-    return edges, left
+            near = differing(rest, rows[:, seed]) <= most
+            if near.any():
+                found = left[near].tolist()
+                edges += [(seed, x) for x in found]
+                todo += found
+                left, rest = left[~near], rest[:, ~near]
+    return edges
 
 
-def _children(sketches: np.ndarray, key: int, run: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """One level of a bucket's own recursion: the sampled tokens of each row."""
-    tokens = labelled(sketches)
-    parent = mix(np.array([key & (2**64 - 1)], U) ^ U(run + 1))[0]
-    chance = mix(tokens ^ parent)
-    at, token = np.nonzero(chance < U(int(2.0**64 / (similarity * tokens.shape[1]))))
-    return at, mix(chance[at, token] ^ parent)
+def search_bucket(sketches: np.ndarray, key: int, similarity: float, close: float) -> list[tuple[int, int]]:
+    """The forest of a bucket of any size. No row is left uncompared, so neither the key nor the bound is needed to split it."""
+    return forest(sketches, close)
 
 
 def candidate_edges(sets: DataFrame, similarity: float, close: float) -> DataFrame:
@@ -238,44 +217,86 @@ def _thin(spread: DataFrame, some: DataFrame, close: float, rounds: int = 4) ->
     """Takes the rows close to a few pivots out of large buckets before a bucket goes to one task.
 
     ``some``, the rows of a part of the sets, shows which buckets are large. Each has up to ``PIVOTS`` of its rows as pivots, found by an
-    aggregate with partial results; every row close to one is linked to it and leaves the bucket, wherever the row is.
-    What remains, with the pivots, is searched as a bucket; rounds repeat while large buckets remain.
+    aggregate with partial results; every row close to one or more is linked to them all and leaves the bucket, wherever the row is.
+    A row that stays can still be close to one that left, but then it lies within twice the distance of that one's pivot: such rows
+    meet the pivot's own in buckets beside. What remains, with the pivots, is searched as a bucket; rounds repeat while large buckets
+    remain. A bucket that is still large after them is cut into blocks, each two of which are a bucket.
     """
-    edges = None
-    for _ in range(rounds):
+    edges, beside = None, None
+    for last in [False] * rounds + [True]:
         large = materialize(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > HOT).select("key", (F.col("n") * SAMPLE).alias("size")), "large-buckets")
         if large.isEmpty():
             break
         total = spread.count()
         rows = materialize(join_groups(spread.withColumn("k", F.unhex(F.hex("key"))), large.select(F.unhex(F.hex("key")).alias("k"), "size"), "k", "size", total), "bucket-rows")
-        hot = rows.where("size is not null")
+        hot, calm = rows.where("size is not null"), rows.where("size is null").select("key", "rep", "sketch")
+        if last:
+            spread = calm.unionByName(_block_pairs(hot))
+            break
         pick = hot.groupBy("k", "size", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("slot")).agg(F.min_by(F.struct("rep", "sketch"), F.xxhash64("rep", F.lit("pivot"))).alias("p"))
         pivots = materialize(pick.groupBy("k", "size").agg(F.collect_list("p").alias("pivots")), "pivots")
         judged = join_groups(hot.select("key", "rep", "sketch", "k"), pivots, "k", "size", total)
-        near = materialize(judged.select("key", "rep", "sketch", "pivots").mapInArrow(_pivot_of(close), "key long, rep long, sketch binary, pivot long"), "near-pivots")
-        linked = near.where("pivot is not null").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+        near = materialize(judged.select("key", "rep", "sketch", "pivots").mapInArrow(_pivots_of(close), "key long, rep long, sketch binary, pivot long, role string"), "near-pivots")
+        linked = near.where("role = 'close'").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
         edges = linked if edges is None else edges.unionByName(linked)
-        spread = rows.where("size is null").select("key", "rep", "sketch").unionByName(near.where("pivot is null").select("key", "rep", "sketch"))
+        met = _around_pivots(near)
+        beside = met if beside is None else beside.unionByName(met)
+        spread = calm.unionByName(near.where("role = 'stays'").select("key", "rep", "sketch"))
         some = spread.where(_sampled())
-    return spread, edges
+    return spread if beside is None else spread.unionByName(beside), edges
+
+
+def _block_pairs(hot: DataFrame) -> DataFrame:
+    """Buckets (key, rep, sketch, size) as buckets of two blocks of at most about HOT / 2 rows, so that any two rows meet in one."""
+    blocks = F.greatest(F.lit(2), F.ceil(F.col("size") * 2 / F.lit(HOT))).cast("int")
+    dealt = hot.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> other")
+    return pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rep", "sketch")
 
 
-def _pivot_of(close: float):
-    """A function over rows with their bucket's pivots: the first pivot that a row is close to, null for pivots themselves."""
-    need = math.ceil(close * TOKENS)
+def _around_pivots(near: DataFrame) -> DataFrame:
+    """Buckets (key, rep, sketch) in which the rows of a pivot meet those that may be close to one of them, in blocks of at most about HOT / 2 rows."""
+    rows = near.where("role in ('own', 'around')")
+    count = lambda role: F.count(F.when(F.col("role") == role, 1))
+    blocks = lambda n: F.ceil(n * 2 / F.lit(HOT)).cast("int")
+    sizes = rows.groupBy("key", "pivot").agg(blocks(count("own")).alias("own"), blocks(count("around")).alias("around"))
+    sizes = materialize(sizes.where("own > 0 and around > 0"), "around-pivots")  # at most PIVOTS for every HOT rows
+    dealt = rows.join(F.broadcast(sizes), ["key", "pivot"])
+    is_own = F.col("role") == "own"
+    block = F.pmod(F.xxhash64("rep", F.lit("block")), F.when(is_own, F.col("own")).otherwise(F.col("around"))).cast("int")
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_own, F.col("around")).otherwise(F.col("own")) - 1)))
+    return dealt.select(F.xxhash64("key", "pivot", F.when(is_own, F.col("block")).otherwise(F.col("other")), F.when(is_own, F.col("other")).otherwise(F.col("block"))).alias("key"), "rep", "sketch")
+
+
+def _pivots_of(close: float):
+    """A function over rows with their bucket's pivots: what each row is to them, one row for each role.
+
+    'stays': no pivot is close, or it is one itself; 'close': an edge to a pivot; 'own': leaves the bucket for its closest pivot;
+    'around': may be close to a row that another pivot takes. Of two pivots' rows, those of the greater pivot go around the lesser.
+    """
+    most = TOKENS - math.ceil(close * TOKENS)
 
     def work(batches):
         for batch in batches:
-            found = []
+            at, found, roles = [], [], []
             sketches, pivots = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for rep, sketch, some in zip(batch.column(1).to_pylist(), sketches, pivots, strict=True):
-                if any(p["rep"] == rep for p in some):
-                    found.append(None)
-                    continue
-                other = np.frombuffer(b"".join(p["sketch"] for p in some), np.uint8).reshape(len(some), -1) ^ np.frombuffer(sketch, np.uint8)
-                equal = np.count_nonzero(other & 0xF0 == 0, axis=1) + np.count_nonzero(other & 0x0F == 0, axis=1)
-                found.append(some[int(equal.argmax())]["rep"] if equal.max() >= need else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.int64())], names=["key", "rep", "sketch", "pivot"])
+            for k, (rep, sketch, some) in enumerate(zip(batch.column(1).to_pylist(), sketches, pivots, strict=True)):
+                reps = [p["rep"] for p in some]
+                roles_here = []
+                if rep not in reps:
+                    far = differing(np.frombuffer(b"".join(p["sketch"] for p in some), U).reshape(len(some), -1).T, np.frombuffer(sketch, U)).tolist()
+                    home = min(zip(far, reps, strict=True))[1] if min(far) <= most else None
+                    roles_here += [(p, "close") for p, d in zip(reps, far, strict=True) if d <= most]
+                    roles_here += [(p, "around") for p, d in zip(reps, far, strict=True) if most < d <= 2 * most and (home is None or p < home)]
+                else:
+                    home = None
+                roles_here.append((home, "own") if home is not None else (None, "stays"))
+                at += [k] * len(roles_here)
+                found += [p for p, _ in roles_here]
+                roles += [r for _, r in roles_here]
+            for lo in range(0, len(at), 20_000):
+                take, cut = pa.array(at[lo : lo + 20_000], pa.int64()), slice(lo, lo + 20_000)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(3)], pa.array(found[cut], pa.int64()), pa.array(roles[cut], pa.string())], names=["key", "rep", "sketch", "pivot", "role"])
 
     return work
 
