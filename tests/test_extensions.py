@@ -144,6 +144,33 @@ def test_variants_against_all_pairs(spark):
     assert all(groups[m, a] == groups[m, b] for m, a, b, s in want if s == "strong") and all(c <= k for (_, k), c in groups.items())
 
 
+def test_variants_in_tiles(spark, monkeypatch):
+    """Blocks of a map meet each other, null and zero vectors and null texts included; two texts are compared once, however often they occur."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, texts = random.Random(5), ["costs rose in the north", "costs rose in the south", "costs never rose in the north", "a", "", None]
+    claims = [(m, k, rng.choice(texts), rng.choice([None, [0.0, 0.0], [1.0, rng.random()], [rng.random(), 1.0]])) for m in (1, 2) for k in range(40)]
+    want = {}
+    for m, a, x, v in claims:
+        for n, b, y, w in claims:
+            if m == n and a < b:
+                lex = SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None
+                cos = None if v is None or w is None else 0.0 if not any(v) or not any(w) else float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+                strong = lex is not None and lex >= 0.9 and ("never" in x) == ("never" in y)
+                if strong or (lex or 0) >= 0.75 or (cos or 0) >= 0.93:
+                    want[m, a, b] = ("strong" if strong else "weak", lex and round(lex, 3), cos and round(cos, 3))
+    monkeypatch.setattr(maps, "TILE", 8)
+    got = maps.variant_pairs(spark.createDataFrame(claims, "map long, ord int, text string, vector array<double>"), "map").collect()
+    assert {(r["map"], r["a"], r["b"]): (r["strength"], r["lex"], r["cos"]) for r in got} == want and len(got) == len(want)
+
+    calls = []
+    monkeypatch.setattr(maps, "SequenceMatcher", lambda *a: calls.append(a) or SequenceMatcher(*a))
+    n = 600
+    table = pa.table({"map": [1] * n, "low": [0] * n, "high": [0] * n, "block": [0] * n, "ord": list(range(n)), "text": [f"text {k % 6}" for k in range(n)], "negated": [False] * n, "vector": pa.array([None] * n, pa.list_(pa.float64()))})
+    assert maps._variant_tile("map")(table).num_rows == n * (n - 1) // 2 and len(calls) == 30
+
+
 def test_passage_of_short_extractions(spark):
     rows = [("c", "p", 0, 0, 0, "USA 74", 1, 0.9, 0.1, True), ("c", "p", 0, 0, 1, "A whole sentence of the text.", 4, 0.8, 0.9, True), ("c", "p", 0, 1, 0, "a whole sentence of the text.", 4, 0.8, 0.9, True), ("c", "p", 0, 1, 1, "dropped by the gate", 5, 1.0, 1.0, False), ("d", "p", 1, 0, 0, "An unmapped one of it.", -1, 0.0, 0.0, True)]
     extracted = spark.createDataFrame(rows, "claim string, pid string, attempt int, chunk int, pos int, text string, j int, cos double, lex double, keep boolean")

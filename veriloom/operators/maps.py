@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from difflib import SequenceMatcher
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +19,7 @@ from .lineage import cut
 # What makes two claims variants, and how much of a source an arbiter reads.
 LEX_STRONG, LEX_WEAK, COS_WEAK = 0.90, 0.75, 0.93
 WHOLE_WORDS, SECTION_WORDS = 30_000, 20_000
+TILE, SLICE = 1024, 256  # claims of a block, rows of a tile that are compared at once
 
 
 def variant_pairs(claims: DataFrame, by: str) -> DataFrame:
@@ -21,17 +27,88 @@ def variant_pairs(claims: DataFrame, by: str) -> DataFrame:
 
     Nearly equal wording is strong unless only one of them negates; somewhat equal wording, or vectors that lie close,
     are weak. A map's claims are compared with each other only; the earlier one is ``a``. ``vector`` may be null.
+    A map of more than ``TILE`` claims is dealt into blocks, each two of which are a task's tile: cosines are a matrix
+    product there, and wordings are compared once for each two texts.
     """
-    side = lambda x: claims.select(by, *[F.col(c).alias(f"{c}_{x}") for c in ("ord", "text", "vector")], t.norm(F.col("text")).alias(f"n_{x}"))
-    pairs = side("a").join(side("b"), by).where("ord_a < ord_b")
-    short, long = F.least(F.length("n_a"), F.length("n_b")), F.greatest(F.length("n_a"), F.length("n_b"))
-    near = F.when(F.col("vector_a").isNotNull() & F.col("vector_b").isNotNull(), retrieve.cosine(F.col("vector_a"), F.col("vector_b")))
-    # texts of too different lengths cannot reach the ratio, and need no comparison
-    maybe = pairs.withColumn("cos", near).where((2 * short >= LEX_WEAK * (short + long)) | (F.col("cos") >= COS_WEAK))
-    scored = maybe.withColumn("lex", sequential.sequence_ratio("n_a", "n_b"))
-    mismatch = t.has_negation(F.col("text_a")) != t.has_negation(F.col("text_b"))
-    strength = F.when((F.col("lex") >= LEX_STRONG) & ~mismatch, "strong").when((F.col("lex") >= LEX_WEAK) | (F.col("cos") >= COS_WEAK), "weak")
-    return scored.select(by, F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), strength.alias("strength"), F.round("lex", 3).alias("lex"), F.round("cos", 3).alias("cos")).where("strength is not null")
+    rows = claims.where(F.col(by).isNotNull() & F.col("ord").isNotNull())
+    rows = rows.select(by, "ord", t.norm(F.col("text")).alias("text"), t.has_negation(F.col("text")).alias("negated"), F.col("vector").cast("array<double>").alias("vector"))
+    large = rows.groupBy(by).agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = rows.join(F.broadcast(large), by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = dealt.select(by, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "ord", "text", "negated", "vector")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    found = tiled.groupBy(by, "low", "high").applyInArrow(_variant_tile(by), f"`{by}` {kinds[by]}, a {kinds['ord']}, b {kinds['ord']}, strength string, lex double, cos double")
+    return found.withColumn("lex", F.round("lex", 3)).withColumn("cos", F.round("cos", 3))
+
+
+def _cosines(vectors: list) -> Callable[[slice], np.ndarray]:
+    """Cosines of a slice of vectors with all: 0 where a norm is 0 or an element null, nan where one is null or their lengths differ."""
+    size = np.array([-1 if v is None else len(v) for v in vectors])
+    broken = np.array([v is not None and None in v for v in vectors], bool)
+    unit = np.zeros((len(vectors), max(1, size.max())))
+    for k, v in enumerate(vectors):
+        if v and not broken[k]:
+            unit[k, : len(v)] = v
+    norms = np.sqrt((unit * unit).sum(1, keepdims=True))
+    unit /= np.where(norms > 0, norms, 1.0)
+    zero = norms[:, 0] == 0
+
+    def some(part: slice) -> np.ndarray:
+        cos = unit[part] @ unit.T
+        cos[(size[part, None] != size[None, :]) & ~zero[part, None] & ~zero[None, :]] = np.nan
+        cos[size[part] < 0] = np.nan
+        cos[:, size < 0] = np.nan
+        return cos
+
+    return some
+
+
+def _variant_tile(by: str):
+    def tile(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        block, order = table.column("block").to_numpy(), table.column("ord").to_numpy()
+        crossed = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        texts = table.column("text").combine_chunks().dictionary_encode()
+        words, code = texts.dictionary.to_pylist(), texts.indices.fill_null(-1).to_numpy()
+        negated = table.column("negated").fill_null(False).to_numpy()
+        cosines = _cosines(table.column("vector").to_pylist())
+        ratio, out = np.full((len(words) + 1, len(words) + 1), np.nan), []  # the last row and column are null texts
+        counted, likely = np.zeros(ratio.shape, bool), np.ones(ratio.shape, bool)
+        counted[-1], counted[:, -1], likely[-1], likely[:, -1] = True, True, False, False
+        length = np.array([len(w) for w in words], np.int64)
+        total = length[:, None] + length[None, :]
+        likely[:-1, :-1] = 2 * np.minimum(length[:, None], length[None, :]) >= LEX_WEAK * total  # others cannot reach the ratio
+        np.fill_diagonal(ratio[:-1, :-1], 1.0)
+        np.fill_diagonal(counted[:-1, :-1], True)
+        for lo in range(0, len(code), SLICE):
+            part = slice(lo, lo + SLICE)
+            cos = cosines(part)
+            pairs = order[part, None] < order[None, :]
+            if crossed:
+                pairs &= block[part, None] != block[None, :]
+            close = cos >= COS_WEAK
+            both = code[part, None], code[None, :]
+            maybe = pairs & (close | likely[both])
+            x, y = np.nonzero(maybe)
+            todo = np.zeros(ratio.shape, bool)
+            todo[code[part][x], code[y]] = True
+            for i, j in np.argwhere(todo & ~counted).tolist():
+                ratio[i, j] = SequenceMatcher(None, words[i], words[j]).ratio()
+            counted |= todo
+            lex = ratio[code[part][x], code[y]]
+            strong = (lex >= LEX_STRONG) & (negated[part][x] == negated[y])
+            keep = strong | (lex >= LEX_WEAK) | close[x, y]
+            x, y, lex, strong = x[keep], y[keep], lex[keep], strong[keep]
+            out.append((x + lo, y, strong, lex, cos[x, y]))
+        x, y, strong, lex, cos = (np.concatenate(c) for c in zip(*out, strict=True))
+        ords, first = table.column("ord"), pa.array(x, pa.int64())
+        return pa.table(
+            [table.column(by).take(first), ords.take(first), ords.take(pa.array(y, pa.int64())), pa.array(np.where(strong, "strong", "weak"), pa.string()), pa.array(lex, pa.float64(), from_pandas=True), pa.array(cos, pa.float64(), from_pandas=True)],
+            names=[by, "a", "b", "strength", "lex", "cos"],
+        )
+
+    return tile
 
 
 def confirm_variants(pairs: DataFrame, answers: DataFrame, by: str) -> DataFrame:
