@@ -171,6 +171,44 @@ def test_variants_in_tiles(spark, monkeypatch):
     assert maps._variant_tile("map")(table).num_rows == n * (n - 1) // 2 and len(calls) == 30
 
 
+def test_variants_of_many_copies(spark, monkeypatch):
+    """Copies of a text are paired by blocks, whatever their vectors; texts of other letters are not compared, and answers may be a column."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, texts = random.Random(9), ["costs rose", "Costs  rose", "costs never rose", "zzz", None]
+    vectors = [None, [], [0.0, 0.0], [1.0, None], [1.0, float("nan")], [1.0], [1.0, 0.1], [0.1, 1.0], [1.0, 0.3]]
+    claims = [(m, k, rng.choice(texts), rng.choice(vectors)) for m in (1, 2, 3) for k in range(50 if m < 3 else 5)] + [(1, None, "zzz", None), (None, 1, "zzz", None)]
+    norm = lambda v: 0.0 if None in v else float(np.linalg.norm(v))
+    want = {}
+    for m, a, x, v in claims:
+        for n, b, y, w in claims:
+            if m is not None and m == n and None not in (a, b) and a < b:
+                lex = SequenceMatcher(None, *(" ".join(c.lower().split()) for c in (x, y))).ratio() if x is not None and y is not None else None
+                cos = None if v is None or w is None or norm(v) != norm(v) or norm(w) != norm(w) else 0.0 if not norm(v) or not norm(w) else None if len(v) != len(w) else float(np.dot(v, w)) / norm(v) / norm(w)
+                strong = lex is not None and lex >= 0.9 and ("never" in x) == ("never" in y)
+                if strong or (lex or 0) >= 0.75 or (cos or 0) >= 0.93:
+                    want[m, a, b] = ("strong" if strong else "weak", lex and round(lex, 3), cos and round(cos, 3))
+    rows = spark.createDataFrame(claims, "map long, ord int, text string, vector array<float>")
+    for size in (4, 1024):
+        monkeypatch.setattr(maps, "TILE", size)
+        pairs = maps.variant_pairs(rows, "map")
+        got = pairs.collect()
+        assert {(r["map"], r["a"], r["b"]): (r["strength"], r["lex"], r["cos"]) for r in got} == want and len(got) == len(want)
+
+    s = (F.col("a") + F.col("b")) % 4
+    relation = F.when(s == 0, "different_claim").when(s == 1, "restatement").when(s == 2, "nonsense")
+    by_rows, by_column = (maps.confirm_variants(pairs, answers, "map").select("map", "a", "b", "strength", "relation").collect() for answers in (pairs.select("map", "a", "b", relation.alias("relation")), relation))
+    assert sorted(map(str, by_rows)) == sorted(map(str, by_column)) and 0 < len(by_column) < len(got)
+
+    calls, n = [], 600
+    monkeypatch.setattr(maps, "SequenceMatcher", lambda *a: calls.append(a) or SequenceMatcher(*a))
+    table = pa.table({"map": [1] * n, "low": [0] * n, "high": [1] * n, "block": [k % 2 for k in range(n)], "ord": list(range(n)), "text": ["abcdef"[k // 2 % 6] * 9 for k in range(n)], "negated": [False] * n, "vector": pa.array([None] * n, pa.list_(pa.float32()))})
+    assert maps._variant_tile("map")(table).num_rows == 6 * 50 * 50 and not calls
+    for low, high in ((0, 1), (1, 2)):  # the other block is empty
+        assert maps._variant_tile("map")(table.slice(0, 1).set_column(1, "low", pa.array([low])).set_column(2, "high", pa.array([high])).set_column(3, "block", pa.array([1]))).num_rows == 0
+
+
 def test_passage_of_short_extractions(spark):
     rows = [("c", "p", 0, 0, 0, "USA 74", 1, 0.9, 0.1, True), ("c", "p", 0, 0, 1, "A whole sentence of the text.", 4, 0.8, 0.9, True), ("c", "p", 0, 1, 0, "a whole sentence of the text.", 4, 0.8, 0.9, True), ("c", "p", 0, 1, 1, "dropped by the gate", 5, 1.0, 1.0, False), ("d", "p", 1, 0, 0, "An unmapped one of it.", -1, 0.0, 0.0, True)]
     extracted = spark.createDataFrame(rows, "claim string, pid string, attempt int, chunk int, pos int, text string, j int, cos double, lex double, keep boolean")
